@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
 
 
@@ -17,7 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_simhash_dedup": op4_simhash_dedup}
 
 SQL = {
     "op1_substring_dedup": r"""
