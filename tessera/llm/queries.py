@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.line_dedup import line_dedup
 from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -22,7 +23,16 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_simhash_dedup": op4_simhash_dedup}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_line_dedup": op6_line_dedup,
+}
 
 SQL = {
     "op1_substring_dedup": r"""
@@ -35,5 +45,16 @@ c AS (SELECT doc_id, count(*) AS n, list(p) AS gone FROM g GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_filter(range(1, len(words) + 1), lambda i : NOT list_contains(gone, i - 1))) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN c USING (doc_id)
-"""
+""",
+    "op6_line_dedup": """
+WITH w AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+t AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS s FROM w WHERE len(lines) >= 3),
+k AS (SELECT doc_id, s, array_to_string(lines[s + 1 : s + 3], chr(10)) AS run FROM t),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, s + unnest(range(0, 3)) AS p FROM r WHERE nth > 1),
+c AS (SELECT doc_id, count(*) AS n, list(p) AS gone FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN lines ELSE list_select(lines, list_filter(range(1, len(lines) + 1), lambda i : NOT list_contains(gone, i - 1))) END, chr(10))) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)
+""",
 }
