@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.pack import pack
+from tessera.llm.shard import shuffle_shards
 from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -28,10 +30,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shuffle_shards(_read(spark, sf_dir, "documents"), shards=24)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_sharding": op8_sharding,
 }
 
 SQL = {
