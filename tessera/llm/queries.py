@@ -12,6 +12,7 @@ from tessera.llm.pack import pack
 from tessera.llm.shard import shuffle_shards
 from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.url_filter import url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +51,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of its number: block if toxic or of low quality, else allow."""
+    pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
+    verdict = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow")
+    labelled = pages.join(labels.where("quality is not null and toxic is not null"), pages["page_id"] == labels["doc_id"]).select("url", verdict.alias("verdict"))
+    return url_filter(pages, labelled)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -58,6 +67,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL = {
