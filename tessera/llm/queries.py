@@ -9,6 +9,7 @@ from tessera.llm.decontaminate import benchmark_matches
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.pack import pack
+from tessera.llm.quality import quality_scores
 from tessera.llm.shard import shuffle_shards
 from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
@@ -28,6 +29,17 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def _remainder(of: int):
+    """crc32 of doc_id as text, modulo `of`."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(_remainder(3) != 1).select("doc_id", "quality")
+    out = quality_scores(_read(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -62,6 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
