@@ -119,11 +119,17 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever it stands."""
+def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the bytes' polynomial, and the factors that move a span of it to the front."""
     powers, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, the same wherever it stands."""
+    sums, inverse = hash_sums(data)
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 

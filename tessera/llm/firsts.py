@@ -25,9 +25,15 @@ _SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.bi
 _ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary()), ("extra", pa.binary())])
 
 
-def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """doc_id, text and the chunk that both decide: rows of one id, or of none, don't all meet in one chunk."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"))
+def chunked(docs: DataFrame, n_chunks: int, rest: list[str] | None = None) -> DataFrame:
+    """doc_id, text and the chunk that both decide: rows of one id, or of none, don't all meet in one chunk.
+
+    rest: further columns to go along, as fields f0, f1, ... of a column named rest.
+    """
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")]
+    if rest:
+        columns.append(F.struct(*[docs[c].alias(f"f{k}") for k, c in enumerate(rest)]).alias("rest"))
+    return docs.select(*columns)
 
 
 def in_order(table: pa.Table) -> pa.Table:

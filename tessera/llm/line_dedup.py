@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import firsts
 from tessera.llm.common import U, hash_spans, ids_of, parts, pieces, rolling, text_bytes, utf8
@@ -62,11 +63,8 @@ def _send(window: int, n_buckets: int):
 
 
 def _finish(window: int, n_buckets: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
-
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
+        names = ["doc_id", "kept_text", "n_lines", "n_removed"] + ["rest"] * ("rest" in table.column_names)
         lines = Lines(table, window, n_buckets)
         late = lines.again | lines.distinct.answered(answer)[lines.distinct.of]
         covered = covered_words(len(lines.starts), lines.windows, late, window)
@@ -77,24 +75,27 @@ def _finish(window: int, n_buckets: int):
             stay = np.flatnonzero(~covered[lines.begins[i] : lines.begins[i + 1]]) + lines.begins[i]
             kept[i] = b"\n".join(whole[a:b] for a, b in zip(lines.starts[stay].tolist(), lines.ends[stay].tolist(), strict=True)).decode()
         n = np.where(lines.null, 0, lines.n_lines)
-        return pa.Table.from_arrays([lines.table["doc_id"].combine_chunks(), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], schema=schema)
+        rest = [lines.table["rest"]] if "rest" in table.column_names else []
+        return pa.Table.from_arrays([lines.table["doc_id"], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *rest], names=names)
 
     return finish
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS) -> DataFrame:
-    """One row per row of docs: doc_id, kept_text, n_lines, n_removed.
+def line_dedup(docs: DataFrame, window: int = WINDOW, rest: list[str] | None = None, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS) -> DataFrame:
+    """One row per row of docs: doc_id, kept_text, n_lines, n_removed, and the columns of docs named in rest.
 
     Lines are what stands between line feeds, white space and empty lines included. A place is a document's id and the
     line's number; of equal windows of `window` consecutive lines the one at the smallest place stays, and every line
-    under a later one goes. Windows are judged on the input, not on what is left. Only doc_id and text are read. A null
-    text has no lines and stays null; a document of fewer than `window` lines stays as it is, and so does a row of
-    null doc_id, which is neither earlier nor later than any other. Of rows that share a doc_id those with the same
+    under a later one goes. Windows are judged on the input, not on what is left. Only doc_id, text and rest are read.
+    A null text has no lines and stays null; a document of fewer than `window` lines stays as it is, and so does a row
+    of null doc_id, which is neither earlier nor later than any other. Of rows that share a doc_id those with the same
     text are told apart by nothing, and one of them is the first. No rows give no rows.
     """
     _, size = text_bytes(docs)
     n_chunks, n_buckets = pieces(size, chunk_bytes), pieces(size // 50, bucket_keys)
-    dealt = firsts.chunked(docs, n_chunks)
+    dealt = firsts.chunked(docs, n_chunks, rest)
     sent = dealt.groupBy("chunk").applyInArrow(_send(window, n_buckets), firsts.SENT)
     answer = sent.groupBy("bucket").applyInArrow(firsts.answers(ties=True), firsts.ANSWER)
-    return dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(_finish(window, n_buckets), "doc_id long, kept_text string, n_lines long, n_removed long")
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] + ([dealt.schema["rest"]] if rest else []))
+    out = dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(_finish(window, n_buckets), kinds)
+    return out.select("doc_id", "kept_text", "n_lines", "n_removed", *[F.col(f"rest.f{k}").alias(c) for k, c in enumerate(rest or [])])

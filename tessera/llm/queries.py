@@ -13,6 +13,7 @@ from tessera.llm.quality import quality_scores
 from tessera.llm.shard import shuffle_shards
 from tessera.llm.simhash_dedup import simhash_dedup
 from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.toxicity import toxicity_scores
 from tessera.llm.url_filter import url_filter
 
 
@@ -53,6 +54,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(_remainder(4) != 2).select("doc_id", "toxic")
+    out = toxicity_scores(_read(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shuffle_shards(_read(spark, sf_dir, "documents"), shards=24)
     text = F.coalesce("text", F.lit(""))
@@ -78,6 +85,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filter": op10_url_filter,
