@@ -23,7 +23,7 @@ from tessera.llm.decontaminate import fold
 TRAIN_ROWS, NEIGHBOURS, BLOCK, HEADS = 8_192, 16, 32, (4, 5, 6)
 #: A chosen term's distinct contexts with the label at least, and standard errors above the share of all.
 CONTEXTS, DEVIATION = 6, 5.0
-PRIOR_WEIGHT = 2.0
+PRIOR_WEIGHT = 1.0
 _BUCKETS = 16
 
 
@@ -178,8 +178,9 @@ class Index:
         return found[keep], near[keep]
 
     def vote(self, found: np.ndarray, near: np.ndarray) -> float:
-        """The neighbours' votes weighted by nearness, beside a prior of the share among texts without a chosen term."""
-        return float((near @ self.label[found] + PRIOR_WEIGHT * self.share) / (near.sum() + PRIOR_WEIGHT))
+        """The neighbours' votes weighted by squared nearness, beside a prior of the share among texts without a chosen term."""
+        weight = near * near
+        return float((weight @ self.label[found] + PRIOR_WEIGHT * self.share) / (weight.sum() + PRIOR_WEIGHT))
 
 
 def _scored(index, extra: bool):
