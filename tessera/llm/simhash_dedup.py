@@ -39,17 +39,17 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         whole = data.tobytes()
         fps = np.array([fingerprint(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64), pa.int64()), batch.column("text_hash")], schema=schema)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text, as a signed 64-bit number."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, text_hash): the fingerprint of every row's whole text, as a signed 64-bit number."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, found) -> None:
@@ -67,22 +67,27 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, found) -> No
                 found(r + i, c + j)
 
 
+def _tile(table: pa.Table) -> pa.Table:
+    fps = np.asarray(table["fp"].combine_chunks())
+    return pa.Table.from_arrays([pa.array([table["tile"][0].as_py()], pa.int32()), pa.array([np.sort(fps).tobytes()], pa.binary())], names=["tile", "fps"])
+
+
 def _tile_pair(radius: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        fp = np.asarray(table["fp"].combine_chunks()).view(U)
-        node = np.asarray(table["node"].combine_chunks())
-        left = np.asarray(table["tile"].combine_chunks()) == table["i"][0].as_py()
-        by = np.lexsort((fp, np.bitwise_count(fp)))
-        fp, node, left = fp[by], node[by], left[by]
-        forest = Forest(len(fp))
-        if table["i"][0].as_py() == table["j"][0].as_py():
-            _compare(fp, fp, radius, True, forest.add)
+        sides = []
+        for x in table.sort_by("tile")["fps"].to_pylist():
+            fp = np.frombuffer(x, U)
+            sides.append(fp[np.argsort(np.bitwise_count(fp), kind="stable")])
+        node = np.concatenate(sides)
+        forest = Forest(len(node))
+        if len(sides) == 1:
+            _compare(node, node, radius, True, forest.add)
         else:
-            one, two = np.flatnonzero(left), np.flatnonzero(~left)
-            _compare(fp[one], fp[two], radius, False, lambda r, c: forest.add(one[r], two[c]))
+            _compare(*sides, radius, False, lambda r, c: forest.add(r, c + len(sides[0])))
         links = np.array(forest.links, np.int64).reshape(-1, 2)
+        node = node.view(np.int64)
         return pa.Table.from_arrays([pa.array(node[links[:, 0]], pa.int64()), pa.array(node[links[:, 1]], pa.int64())], schema=schema)
 
     return compare
@@ -103,11 +108,12 @@ def tiles_of(counts: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
 
 
 def near_fingerprints(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, tiles: int = TILES) -> DataFrame:
-    """(node, component) of the distinct fingerprints (fp, node) that have another within `radius` bits.
+    """(node, component) of the distinct fingerprints fps(fp) that have another within `radius` bits; nodes are fingerprints.
 
-    Every pair of tiles whose population counts may lie within the radius is compared in full, in a task of its own;
-    within it, rows are sorted by population count and stretches out of reach are skipped. A task gives a spanning
-    forest of its links, not the links. Only the histogram of 65 population counts comes to the driver.
+    A tile is one row that holds its fingerprints; there are about `tiles` of them at most, so that each is sent to a
+    bounded number of tasks. Every pair of tiles whose population counts may lie within the radius is compared in full,
+    in a task of its own; within it, rows are sorted by population count and stretches out of reach are skipped. A task
+    gives a spanning forest of its links, not the links. Only the histogram of 65 population counts comes to the driver.
     """
     spark = fps.sparkSession
     counts = {r["p"]: r["n"] for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -122,24 +128,34 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, ti
     # bounded: 65 population counts, and the pairs of at most about `tiles` + 65 tiles
     place = spark.createDataFrame([(p, f, n) for p, (f, n) in places.items()] or [(0, 0, 1)], "p int, first int, parts int")
     meet = spark.createDataFrame(meets or [(0, 0, 0)], "tile int, i int, j int")
-    dealt = fps.withColumn("p", F.bit_count("fp")).join(F.broadcast(place), "p").select("fp", "node", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
-    links = dealt.join(F.broadcast(meet), "tile").groupBy("i", "j").applyInArrow(_tile_pair(radius), "a long, b long")
+    dealt = fps.withColumn("p", F.bit_count("fp")).join(F.broadcast(place), "p").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
+    rows = dealt.groupBy("tile").applyInArrow(_tile, "tile int, fps binary")
+    links = rows.join(F.broadcast(meet), "tile").groupBy("i", "j").applyInArrow(_tile_pair(radius), "a long, b long")
     return components(links)
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), kept.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), kept
+    and text_hash.
 
     Only doc_id and text are read. A null or empty text has fingerprint zero and is linked like any other; equal
-    fingerprints are compared once. kept marks the row that stays of each component: the one of the smallest doc_id
-    (each of them, should rows repeat it). A row of null doc_id gets its component like any other, and is kept only
-    where its fingerprint's component has no id at all. No rows give no rows.
+    fingerprints are compared once. kept marks the document that stays of each component, the one of the smallest
+    doc_id (of rows that share it, the one of the smallest text_hash, the text's XXH64; rows that repeat both are one
+    document). A null doc_id comes after all others: its component_id is null only where no row has an id. No rows give
+    no rows.
     """
     fps = cut(fingerprints(docs))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # a fingerprint's node is itself: components are then named by their smallest doc_id
-    near = near_fingerprints(distinct.select("fp", F.col("fp").alias("node")), radius)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    near = near_fingerprints(distinct.select("fp"), radius)
     named = distinct.join(near, distinct["fp"] == near["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
+    of = named.join(least, "component").select("fp", "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, that are kept of their components."""
+    stay = simhash_dedup(docs, radius).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_semi")
