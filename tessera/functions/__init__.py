@@ -1 +1 @@
-"""functions"""
+"""Column functions: cleaning, casting and outliers."""

@@ -1 +1 @@
-"""operators"""
+"""Plans over DataFrames: profiles, keys, constraints, alignment and table changes."""

@@ -1 +1 @@
-"""plans"""
+"""Parsing and text: predicates, SQL and DDL of several dialects."""

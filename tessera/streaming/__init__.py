@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming: keyed upserts by micro-batch."""
