@@ -61,6 +61,11 @@ def to_currency(c: Column) -> Column:
     return to_number(F.regexp_replace(c.cast("string"), CURRENCY, ""))
 
 
+def to_whole(c: Column) -> Column:
+    """A whole number without its currency marks, thousands commas and spaces."""
+    return to_integer(F.regexp_replace(c.cast("string"), CURRENCY, ""))
+
+
 def to_boolean(c: Column) -> Column:
     s = F.lower(F.trim(c.cast("string")))
     return F.when(s.isin(*TRUE_WORDS), True).when(s.isin(*FALSE_WORDS), False)
@@ -119,7 +124,7 @@ def is_structured(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(framed & parse_json(F.when(framed, s)).isNotNull(), F.lit(False)))
 
 
-CONVERSIONS = {"integer": to_integer, "float": to_number, "boolean": to_boolean, "timestamp": to_time, "date": lambda c: to_time(c).cast("date"), "duration": to_seconds, "currency": to_currency}
+CONVERSIONS = {"integer": to_integer, "float": to_number, "boolean": to_boolean, "timestamp": to_time, "date": lambda c: to_time(c).cast("date"), "duration": to_seconds, "currency": to_currency, "whole": to_whole}
 
 
 # ---------------------------------------------------------------- labels
@@ -211,7 +216,8 @@ def plan_cast(df: DataFrame, config: CastConfig = CastConfig(), dtypes: dict[str
             if any(h in c.lower() for h in TIME_HINTS):
                 pick = "timestamp" if row[f"j{k}"] / n < 0.9 else None
             elif share("currency") > 0.9:
-                pick = "currency"
+                # whole numbers only where all are
+                pick = "whole" if share("whole") == share("currency") else "currency"
             elif share("boolean") >= 0.9:
                 pick = "boolean"
         elif c in dtypes:

@@ -14,8 +14,13 @@ from pyspark.sql import types as T
 
 
 def rows_frame(spark: SparkSession, rows: list[Mapping]) -> DataFrame:
-    """Rows as mappings; a key that a row lacks is null in it. Nested values become JSON text."""
-    names = list(dict.fromkeys(k for r in rows for k in r))
+    """Rows as mappings; a key that a row lacks is null in it, and keys that differ in case are one. Nested values become
+    JSON text."""
+    spelled: dict[str, str] = {}
+    for k in (k for r in rows for k in r):
+        spelled.setdefault(str(k).lower(), str(k))
+    rows = [{spelled[str(k).lower()]: v for k, v in r.items()} for r in rows]
+    names = list(spelled.values())
     if not names:
         return spark.createDataFrame([], T.StructType([]))
     plain = lambda v: json.dumps(v) if isinstance(v, (dict, list)) else None if isinstance(v, float) and v != v else v
