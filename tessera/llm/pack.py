@@ -168,7 +168,7 @@ def patterns_of(have: np.ndarray, length: int) -> np.ndarray:
 def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.ndarray:
     """Repeat counts x >= 0 with patterns.T x near the histogram: least squares by accelerated projected gradient.
 
-    Each step is divided by what a pattern's lengths meet in other patterns, which bounds the curvature.
+    A length's difference weighs by its tokens, so that short pieces are kept for the long ones' gaps. Each step is divided by what a pattern's lengths meet in other patterns, which bounds the curvature.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -182,11 +182,12 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.nda
         return np.where(used, r[patterns], 0).sum(axis=1)
 
     # Gershgorin: the row sums of A'A bound its eigenvalues, scaled by each pattern
-    bound = back(apply(np.ones(len(patterns))))
+    weight = (np.arange(n) / n) ** 2
+    bound = back(weight * apply(np.ones(len(patterns))))
     x = y = np.zeros(len(patterns))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - back(apply(y) - histogram) / bound)
+        new = np.maximum(0, y - back(weight * (apply(y) - histogram)) / bound)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         x, y, t = new, new + (t - 1) / s * (new - x), s
     return x
@@ -217,29 +218,48 @@ def plan_of(histogram: np.ndarray, length: int) -> list[tuple[int, int, int, int
     patterns = patterns_of(have, length)
     x = fit(patterns, left.astype(float))
     fill = patterns.sum(axis=1)
-    for i in np.lexsort((-x, -fill)):
+    for i in np.lexsort((-x, -patterns[:, 0])):
         if x[i] < 1 or fill[i] < length - 8:
             continue
         own = [int(v) for v in patterns[i] if v]
         times = min(int(x[i]), *(int(left[v]) // own.count(v) for v in own))
         if times:
             place(own, times)
-    # the rest by best fit: the longest left, then the longest that fits, for as many sequences as all of them last
-    top = length
-    while True:
-        while top and not left[top]:
-            top -= 1
-        if not top:
-            return slots
-        own, room, spare = [top], length - top, left.copy()
-        spare[top] -= 1
-        while room and len(fits := np.flatnonzero(spare[1 : room + 1])):
-            v = int(fits[-1]) + 1
-            k = min(int(spare[v]), room // v)
-            own += [v] * k
-            spare[v] -= k
-            room -= v * k
-        place(own, min(int(left[v]) // own.count(v) for v in set(own)))
+    for pattern, times in best_fit(left, length):
+        place(pattern, times)
+    return slots
+
+
+def best_fit(histogram: np.ndarray, length: int) -> list[tuple[list[int], int]]:
+    """(pattern, times) of best fit decreasing: the longest first, each into the fullest sequence that has room.
+
+    Pieces of one length and sequences of one filling move together, so that the work depends on the number of lengths.
+    """
+    left, room = histogram.copy(), np.zeros(length + 1, np.int64)
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(gap: int, pattern: tuple[int, ...], times: int) -> None:
+        groups.setdefault(gap, []).append((pattern, times))
+        room[gap] += times
+
+    for x in np.flatnonzero(left)[::-1].tolist():
+        c = int(left[x])
+        while c and len(gaps := np.flatnonzero(room[x:])):
+            gap = int(gaps[0]) + x
+            pattern, times = groups[gap].pop()
+            room[gap] -= times
+            each = min(gap // x, c)
+            full = min(times, c // each)
+            if times > full:
+                put(gap, pattern, times - full)
+            put(gap - each * x, pattern + (x,) * each, full)
+            c -= full * each
+        each = length // x
+        if c // each:
+            put(length - each * x, (x,) * each, c // each)
+        if c % each:
+            put(length - c % each * x, (x,) * (c % each), 1)
+    return [(list(p), n) for own in groups.values() for p, n in own]
 
 
 # ---------------------------------------------------------------- operator
