@@ -84,6 +84,8 @@ def to_integer(c: Column, bits: int = 64) -> Column:
 def to_time(c: Column, dayfirst: bool = True) -> Column:
     """The first format that the whole text has decides; days come before months where dayfirst."""
     s = F.trim(c.cast("string"))
+    # all formats begin with a digit and have 8 characters or more; other text meets none of the patterns
+    s = F.when((F.length(s) >= 8) & F.substring(s, 1, 1).between("0", "9"), s)
     out = None
     for shape, form in TIME_FORMATS:
         form = form if dayfirst else form.replace("dd/MM", "MM/dd")

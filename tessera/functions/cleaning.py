@@ -21,6 +21,9 @@ DASHES = "–—―"
 CYRILLIC, CYRILLIC_AS = "АаВЕеКкМНОоРрСсТХху", "AaBEeKkMHOoPpCcTXxy"
 GREEK, GREEK_AS = "ΑαΒβΕεΗΙιΚκΝνΟοΡρΤτΥυΧχ", "AaBbEeHIiKkNvOoPpTtYyXx"
 
+# All white space of Unicode, as a text's ends lose it.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 
@@ -71,17 +74,19 @@ def clean(c: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     characters beyond ASCII reach.
     """
     out = F.when(~c.isin(*config.null_words), c) if config.null_words else c
-    out = replaced(out, config.replace)
+    # as many bytes as characters: nothing beyond ASCII, which the map (but for keys of one's own) and the form leave alone
+    beyond = F.octet_length(out) > F.length(out)
+    new = replaced(out, config.replace)
     if config.normal_form:
-        form = {"NFKC": _nfkc, "NFC": _nfc}[config.normal_form]
-        ascii_only = ~out.rlike(r"[^\x00-\x7F]")
-        out = F.when(ascii_only, out).otherwise(form(F.when(~ascii_only, out)))
+        new = {"NFKC": _nfkc, "NFC": _nfc}[config.normal_form](F.when(beyond, new))
+    plain = {k: v for k, v in config.replace.items() if k.isascii()}
+    out = F.when(beyond, new).otherwise(replaced(out, plain))
     if config.controls:
         out = F.regexp_replace(out, _CONTROLS, "")
     if config.special:
         out = F.regexp_replace(out, r"(?U)[^\w\s]", "")
     if config.trim:
-        out = F.regexp_replace(out, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+        out = F.btrim(out, F.lit(WHITE))
     return out
 
 

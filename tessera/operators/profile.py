@@ -25,8 +25,9 @@ def _distinct_counts(df: DataFrame, columns: list[str], approximate: bool) -> di
     if approximate:
         row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(str(k)) for k, c in enumerate(columns)]).first()
         return {c: row[str(k)] for k, c in enumerate(columns)}
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`").cast("string") if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(f"`{c}`"))).alias("h")) for k, c in enumerate(columns)])
-    rows = df.select(F.explode(pairs).alias("x")).select("x.k", "x.h").where("h is not null").distinct().groupBy("k").count().collect()
+    hashed = [f"xxhash64({f'to_json(`{c}`)' if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else f'`{c}`'})" for c in columns]
+    pairs = ", ".join(f"{k}, case when `{c}` is not null then {h} end" for k, (c, h) in enumerate(zip(columns, hashed, strict=True)))
+    rows = df.selectExpr(f"stack({len(columns)}, {pairs}) as (k, h)").where("h is not null").distinct().groupBy("k").count().collect()
     found = {r["k"]: r["count"] for r in rows}
     return {c: found.get(k, 0) for k, c in enumerate(columns)}
 
