@@ -44,14 +44,14 @@ class CleaningConfig:
     lower_headers: bool = True
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+def _form(name: str):
+    """An Arrow function; a nested one travels to the executors by value, which then need no package."""
 
+    @F.pandas_udf(T.StringType())
+    def normal(s: pd.Series) -> pd.Series:
+        return s.str.normalize(name)
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+    return normal
 
 
 def replaced(c: Column, by: dict[str, str]) -> Column:
@@ -78,7 +78,7 @@ def clean(c: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     beyond = F.octet_length(out) > F.length(out)
     new = replaced(out, config.replace)
     if config.normal_form:
-        new = {"NFKC": _nfkc, "NFC": _nfc}[config.normal_form](F.when(beyond, new))
+        new = _form(config.normal_form)(F.when(beyond, new))
     plain = {k: v for k, v in config.replace.items() if k.isascii()}
     out = F.when(beyond, new).otherwise(replaced(out, plain))
     if config.controls:
