@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U, cut, hash_spans, parts, spans, utf8
+from tessera.session import ship
 
 BITS = 18
 SIZES = (24, 48, 96)
@@ -80,6 +81,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """(documents, in how many of them each of 2**18 hashed words stands). A fixed 2 MB comes to the driver."""
+    ship(docs.sparkSession)
     kind = "part int, docs long, counts binary"
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, kind).groupBy("part").applyInArrow(_merge, kind).orderBy("part").collect()
     if not rows:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 from tessera.llm.components import Forest, components
+from tessera.session import ship
 
 COSINE, TREES, SAMPLE, LEAF, TILE = 0.98, 6, 16_384, 2_048, 2_048
 #: Half the width of the band that goes to both sides, as a part of the largest distance of a pair.
@@ -155,6 +156,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     are compared once; a leaf or component of more than `tile` vectors is compared tile by tile in many tasks, which
     give spanning forests and counts, never pairs.
     """
+    ship(vectors.sparkSession)
     e = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))

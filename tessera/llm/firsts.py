@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U
+from tessera.session import ship
 
 #: Text bytes of a chunk, and keys of a bucket.
 CHUNK_BYTES = 6 << 20
@@ -30,6 +31,7 @@ def chunked(docs: DataFrame, n_chunks: int, rest: list[str] | None = None) -> Da
 
     rest: further columns to go along, as fields f0, f1, ... of a column named rest.
     """
+    ship(docs.sparkSession)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")]
     if rest:
         columns.append(F.struct(*[docs[c].alias(f"f{k}") for k, c in enumerate(rest)]).alias("rest"))

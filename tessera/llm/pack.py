@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U, hash_spans, parts, pieces, spans, stored, utf8
+from tessera.session import ship
 
 LENGTH, END = 2048, 0
 _CACHE_WORDS = 1_500_000
@@ -133,6 +134,7 @@ def _pieces(length: int, path: str | None, keep_ids: bool):
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): each row's ids, closed by id 0 and cut into pieces of `length`."""
+    ship(docs.sparkSession)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(length, tokenizer, keep_ids), kind)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U, hash_spans, mix, parts, spans, utf8
+from tessera.session import ship
 
 BITS = 18
 #: Rows that a model is fitted on at most, and passes over them.
@@ -105,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_
 
     Rows are turned into features where they lie; one task trains, on a bounded number of rows. 1 MB comes back.
     """
+    ship(docs.sparkSession)
     drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).dropDuplicates(["_id"]).orderBy("place", "_id").limit(train_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("place", "label", "text")
     vectors = texts.mapInArrow(_vectors, "place long, label int, ids binary, shares binary")

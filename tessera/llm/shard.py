@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces, stored, text_bytes
+from tessera.session import ship
 
 BUCKET_BYTES = 8 << 20
 _GROUP = 4096
@@ -39,6 +40,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 24, seed: int = 7, bucket_byte
     Input columns named shard, slot or like the inner ones (_bucket, _key, _tie, _place) are renamed with a leading
     "in_". Nulls in any column are values like others. No rows give no rows.
     """
+    ship(docs.sparkSession)
     own = {"shard", "slot", "_bucket", "_key", "_tie", "_place"}
     docs = docs.toDF(*[f"in_{c}" if c.lower() in own else c for c in docs.columns])
     rows, size = text_bytes(docs, text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U, cut, pieces, utf8
 from tessera.llm.components import Forest, components
+from tessera.session import ship
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile at least, and tiles at most before tiles grow.
@@ -49,6 +50,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, text_hash): the fingerprint of every row's whole text, as a signed 64-bit number."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import U, hash_sums, mix, parts, spans
 from tessera.llm.decontaminate import fold
+from tessera.session import ship
 
 #: Labelled rows that are learned from at most; neighbours that vote; examples of a block; bytes of a word's beginnings.
 TRAIN_ROWS, NEIGHBOURS, BLOCK, HEADS = 8_192, 16, 32, (4, 5, 6)
@@ -215,6 +216,7 @@ def _scored(index, extra: bool):
 def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, neighbours: int = NEIGHBOURS) -> Index:
     """The index: chosen terms and examples from a bounded sample of labels, document frequencies from all docs."""
     spark = docs.sparkSession
+    ship(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("_p")).dropDuplicates(["_id"]).orderBy("_p", "_id").limit(train_rows)
     sample = d.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
