@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,3 +201,23 @@ def failure_rates(df: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNotNull() & kinds[c].isNull()).alias(f"f{k}") for k, c in enumerate(names)])
     pairs = ", ".join(f"'{c}', f{k}, case when _n = 0 then 0D else f{k} / _n end" for k, c in enumerate(names))
     return row.selectExpr(f"stack({len(names)}, {pairs}) as (column_name, failures, rate)")
+
+
+def failing_values(df: DataFrame, kinds: dict[str, Column], order_by: list[str], most: int = 5) -> DataFrame:
+    """(column_name, position, value): the first failing values of each column by an order.
+
+    A bounded sort for each column: a task keeps `most` rows, so that no group of failures is gathered.
+    """
+    out = None
+    for c, made in kinds.items():
+        bad = df.where(F.col(f"`{c}`").isNotNull() & made.isNull()).orderBy(*[F.col(f"`{o}`") for o in order_by]).limit(most)
+        w = Window.orderBy(*[F.col(f"`{o}`") for o in order_by])
+        one = bad.select(F.lit(c).alias("column_name"), F.row_number().over(w).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def observed(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """df, and its rows and nulls by column, counted as an action runs over it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls:{c}") for c in df.columns]), seen

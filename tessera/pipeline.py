@@ -139,6 +139,39 @@ def propose(spark: SparkSession, path: str, rows: int = 5000) -> dict:
     return {"table": name, "pk": key.columns if key.is_unique else None, "operation": "upsert" if key.is_unique else "insert"}
 
 
+def generate_configs(spark: SparkSession, root: str, force: bool = False) -> dict[str, dict]:
+    """Settings for every CSV file below a local folder, kept as JSON in each folder's loads.json; those there stay, but with force."""
+    out = {}
+    for folder, _, names in sorted(os.walk(root)):
+        files = sorted(n for n in names if n.lower().endswith(".csv"))
+        if not files:
+            continue
+        place = os.path.join(folder, "loads.json")
+        known = {}
+        if os.path.exists(place) and not force:
+            with open(place) as f:
+                known = json.load(f)
+        for n in files:
+            if n[:-4] not in known:
+                known[n[:-4]] = propose(spark, os.path.join(folder, n))
+        with open(place, "w") as f:
+            json.dump(known, f, indent=1)
+        out |= {os.path.join(folder, k): v for k, v in known.items()}
+    return out
+
+
+def trace(df: DataFrame, statement: Any, path: str) -> None:
+    """A statement's text and parameters, and the plan that stands for it here, added to a file on the driver."""
+    plan = df._jdf.queryExecution().toString()
+    with open(path, "a") as f:
+        f.write(f"{statement}\n{json.dumps(getattr(statement, 'params', {}), default=str)}\n{plan}\n")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A frame as CSV with its clean headers, in a new place: sources are never written over."""
+    df.write.option("header", True).csv(path)
+
+
 def run_batch(spark: SparkSession, folder: str, root: str, config: Mapping[str, Mapping] | None = None, after: str | None = None) -> dict[str, LoadResult]:
     """Every CSV file of a folder by its settings (proposed where there are none); after: only files modified later."""
     etl, out = ETL(spark, root), {}

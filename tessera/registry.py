@@ -453,6 +453,21 @@ def semantic_object_types(spark, t):
     return spark.createDataFrame(list(plan.semantic.items()), "column_name string, semantic string")
 
 
+_SHAPES = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'yes' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN '12/05:99' ELSE o_orderpriority END AS s FROM orders"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN s IN ('yes', '0', '1') THEN 'boolean' WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'datetime' WHEN regexp_matches(s, '^\\d+$') THEN 'float' WHEN s = '12/05:99' THEN 'datetime' ELSE 'object' END AS label FROM ({_SHAPES})")
+def shape_labels(spark, t):
+    k = F.col("o_orderkey") % 5
+    s = F.when(k == 0, F.col("o_custkey").cast("string")).when(k == 1, "yes").when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 3, "12/05:99").otherwise(F.col("o_orderpriority"))
+    return t("orders").select("o_orderkey", casting.shape_label(s).alias("label"))
+
+
+@query(f"WITH n AS ({_NOISY}), d AS (SELECT *, CASE WHEN regexp_matches(s, '{_NUM}') THEN TRY_CAST(trim(s) AS DOUBLE) END AS d FROM n) SELECT 's' AS column_name, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, s) AS INTEGER) AS position, s AS value FROM d WHERE d IS NULL ORDER BY l_orderkey, l_linenumber, s LIMIT 5")
+def failing_values(spark, t):
+    return align.failing_values(_noisy(t), {"s": casting.to_number(F.col("s"))}, ["l_orderkey", "l_linenumber", "s"])
+
+
 # ---------------------------------------------------------------- outliers
 
 
@@ -541,7 +556,7 @@ def stream_upsert_events(spark, t):
 
 @query("SELECT date_trunc('minute', ts) - to_minutes(CAST(minute(ts) % 10 AS INTEGER)) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_tumbling_counts(spark, t):
-    """An extension: the reference has no windows over events."""
+    """An extension beside the load operators."""
     return tumbling_counts(t("events"), "ts", "event_type")
 
 

@@ -310,6 +310,28 @@ def test_etl(spark, tmp_path):
     assert run_batch(spark, str(folder), str(tmp_path / "batch"), after="2100-01-01") == {}
 
 
+def test_configs_and_trace(spark, tmp_path):
+    from tessera.pipeline import generate_configs, trace, write_csv
+    from tessera.plans.sqltext import where
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("k,v\n1,a\n2,a\n")
+    got = generate_configs(spark, str(tmp_path))
+    assert list(got.values()) == [{"table": "a_x", "pk": ["k"], "operation": "upsert"}]
+    (tmp_path / "a" / "loads.json").write_text('{"x": {"table": "mine"}}')
+    assert list(generate_configs(spark, str(tmp_path)).values()) == [{"table": "mine"}]
+    df = spark.range(3)
+    trace(df, where([("id", "=", 1)]), str(tmp_path / "t.txt"))
+    assert "id = :id_1" in (tmp_path / "t.txt").read_text()
+    write_csv(df, str(tmp_path / "csv"))
+    assert read_any(spark, str(tmp_path / "csv") + "/*.csv").count() == 3
+    plan = casting.plan_by_shape(spark.createDataFrame([("1.5", "yes", "2020-01-01", "x")] * 3, "a string, b string, c string, d string"))
+    assert plan.conversions == {"a": "float", "b": "boolean", "c": "timestamp"}
+    seen, metrics = align.observed(df)
+    seen.collect()
+    assert metrics.get["rows"] == 3
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(k % 5, float(k)) for k in range(20)], "id long, v double")
     df.repartition(4).write.parquet(str(tmp_path / "in"))
