@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 # Strings that stand for null (as spelled), and characters that are replaced.
 NULL_WORDS = ("nan", "None", "NAT", "NAN", "null")
-SPACES = "  "
-INVISIBLE = "​‌‍⁠﻿᠎"
-DOUBLE_QUOTES = "“”„‟"
-SINGLE_QUOTES = "‘’‛"
-DASHES = "–—―"
+SPACES = "\u00a0\u202f"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u180e"
+DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
+SINGLE_QUOTES = "\u2018\u2019\u201b"
+DASHES = "\u2013\u2014\u2015"
 CYRILLIC, CYRILLIC_AS = "АаВЕеКкМНОоРрСсТХху", "AaBEeKkMHOoPpCcTXxy"
 GREEK, GREEK_AS = "ΑαΒβΕεΗΙιΚκΝνΟοΡρΤτΥυΧχ", "AaBbEeHIiKkNvOoPpTtYyXx"
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "BETWEEN", "NOT BETWEEN", "IN", "NOT IN", "LIKE", "NOT LIKE", "RAW LIKE", "IS", "IS NOT", "IS NULL", "IS NOT NULL", "<=>")
 _NAME = r"[A-Za-z_][\w$]*"
 _OPERATOR = r"NOT\s+BETWEEN|NOT\s+IN|NOT\s+LIKE|RAW\s+LIKE|IS\s+NOT\s+NULL|IS\s+NULL|IS\s+NOT|BETWEEN|LIKE|IN\b|IS\b|<=>|<=|>=|!=|<>|=|>|<"
-_CONDITION = re.compile(rf"^﻿?\s*(?P<field>{_NAME})\s*(?P<op>{_OPERATOR})\s*(?P<value>.*)$", re.I | re.S)
+_CONDITION = re.compile(rf"^\ufeff?\s*(?P<field>{_NAME})\s*(?P<op>{_OPERATOR})\s*(?P<value>.*)$", re.I | re.S)
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def normalise(condition: Any) -> Condition:
         value = tuple(value) if isinstance(value, (list, tuple)) and len(value) == 2 else (value, value)
     if op.endswith("IN") and value != "?":
         value = list(value) if isinstance(value, (list, tuple, set)) else [value]
-    return Condition(out.field.lstrip("﻿").strip(), op, value)
+    return Condition(out.field.lstrip("\ufeff").strip(), op, value)
 
 
 def numbered(conditions: Any) -> dict[int, list[Condition]]:

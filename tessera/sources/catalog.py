@@ -41,15 +41,16 @@ class Catalog:
             stream.close()
 
     def _write(self, text: str, *parts: str) -> None:
-        """Written beside the place and renamed over it."""
+        """Written beside the place and renamed over it, in one step where the file system has that."""
         path, draft = self._path(*parts), self._path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
-        fs = self._fs(path)
-        out = fs.create(draft, True)
+        out = self._fs(path).create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(draft, path)
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
+        whole = self._fs(path).makeQualified
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole(path).toUri(), self._conf).rename(whole(draft), whole(path), over)
 
     # ------------------------------------------------------------ reading
 
