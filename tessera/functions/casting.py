@@ -238,8 +238,14 @@ def plan_cast(df: DataFrame, config: CastConfig = CastConfig(), dtypes: dict[str
         v = F.col(f"`{c}`")
         full = v.isNotNull() & (F.trim(v) != "")
         exprs += [F.count(v).alias(f"n{k}"), F.count_if(full).alias(f"f{k}"), F.count_if(F.coalesce(is_structured(v), F.lit(False))).alias(f"j{k}")]
-        exprs += [F.count_if(conv(v).isNotNull()).alias(f"{name}{k}") for name, conv in CONVERSIONS.items()]
-        exprs += [F.count_if(label(v, config.labels) == name).alias(f"l_{name}{k}") for name in [n for n, _ in config.labels] + ["string"]]
+        # only what may decide on this column
+        if config.use_transform:
+            asked = () if c in dtypes else ("timestamp",) if any(h in c.lower() for h in TIME_HINTS) else ("currency", "whole", "boolean")
+        else:
+            asked = (dtypes[c],) if dtypes.get(c) in CONVERSIONS else () if c in dtypes else tuple(n for n, _ in config.labels if n in CONVERSIONS)
+            if c not in dtypes:
+                exprs += [F.count_if(label(v, config.labels) == name).alias(f"l_{name}{k}") for name in [n for n, _ in config.labels] + ["string"]]
+        exprs += [F.count_if(CONVERSIONS[name](v).isNotNull()).alias(f"{name}{k}") for name in asked]
     row = df.agg(*exprs).first()
     chosen, semantic, kept = {}, {}, {}
     for k, c in enumerate(text):
