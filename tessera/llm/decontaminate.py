@@ -4,7 +4,9 @@
 2. Benchmark passages are dealt into blocks; each block's TF-IDF matrix gets a randomised singular value decomposition
    in a task of its own. With a rank of a block's passages (the default) nothing of its passages is lost.
 3. Windows of several sizes run over every whole document. A window's cosine with a passage is taken in the block's
-   latent space; a window whose share of benchmark words bounds the cosine below the threshold is passed over.
+   latent space; a window whose share of benchmark words bounds the cosine below the threshold is passed over. Whatever
+   its cosine, a window that holds three words running of a passage, one of its rarest third among them, is a candidate
+   too: the more documents hold a passage, the less its words weigh, so that weights alone would lose its copies.
 4. A candidate is kept if enough of the passage's words stand around the window in order, and enough of its key words
    (an answer's words where the benchmark has them, else the rarest words) are among them.
 """
@@ -19,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, cut, hash_spans, parts, spans, utf8
+from tessera.llm.common import U, cut, hash_spans, parts, rolling, spans, utf8
 from tessera.session import ship
 
 BITS = 18
@@ -28,6 +30,8 @@ RANK = BLOCK = 256
 #: Blocks that are broadcast at a time (each at most 256 x its words), passages in all of them at most 2,048.
 BLOCKS_AT_ONCE = 8
 COSINE, LCS, KEYS = 0.35, 0.6, 0.5
+#: Words running of a passage that make a window a candidate (a shorter passage's words all).
+GRAM = 3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _c in range(128):
@@ -124,12 +128,20 @@ class Block:
         #: Passages go with the smallest windows that hold them, or the largest there are.
         self.scale = np.minimum(np.searchsorted(SIZES, size), len(SIZES) - 1)
         self.keys = []
-        for (_, _, answer), w in zip(items, self.words, strict=True):
+        #: For each number of words running: their hashes, and the passages they stand in.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, list] = {}
+        for k, ((_, _, answer), w) in enumerate(zip(items, self.words, strict=True)):
             key = _words(answer)
-            if not len(key):
-                u = np.unique(w)
-                key = u[np.argsort(-idf[_terms(u)], kind="stable")[: max(1, len(u) // 3)]]
-            self.keys.append(set(key.tolist()))
+            u = np.unique(w)
+            rare = u[np.argsort(-idf[_terms(u)], kind="stable")[: max(1, len(u) // 3)]]
+            self.keys.append(set((key if len(key) else rare).tolist()))
+            if n := min(GRAM, len(w)):
+                holds = np.r_[0, np.cumsum(np.isin(w, rare))]
+                gram = np.unique(rolling(w, n, n)[holds[n:] > holds[:-n]])
+                found.setdefault(n, []).append((gram, np.full(len(gram), k)))
+        for n, each in found.items():
+            self.grams[n] = np.concatenate([g for g, _ in each]), np.concatenate([k for _, k in each])
 
 
 def _svd(idf: np.ndarray, rank: int):
@@ -176,6 +188,15 @@ class Search:
         self.place = np.full((len(blocks), len(idf)), -1, np.int32)
         for p, b in zip(self.place, blocks, strict=True):
             p[b.terms] = np.arange(len(b.terms))
+        #: For each number of words running: sorted hashes, block and passage of each, and which leading bits occur.
+        self.grams = {}
+        for n in sorted({n for b in blocks for n in b.grams}):
+            own = [(g, np.full(len(g), i), k) for i, b in enumerate(blocks) for g, k in [b.grams.get(n, (np.zeros(0, U), np.zeros(0, np.int64)))]]
+            gram, block, k = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.argsort(gram, kind="stable")
+            some = np.zeros(1 << 20, bool)
+            some[(gram >> U(44)).astype(np.int64)] = True
+            self.grams[n] = gram[order], block[order], k[order], some
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float]]:
         """(row, item, cosine, share in common) for the texts of a slice; the best of each row and item."""
@@ -194,8 +215,41 @@ class Search:
             near = np.flatnonzero(own[end] - own[start] >= self.cosine**2 * np.maximum(norm, 1e-9))
             for lo in range(0, len(near), 4096):
                 self._windows(scale, start[near[lo : lo + 4096]], end[near[lo : lo + 4096]], norm[near[lo : lo + 4096]], words, terms, inside, begins, best)
+        self._running(words, terms, begins, best)
         return [(r, i, c, x) for (r, i), (c, x) in best.items()]
 
+    def _running(self, words, terms, begins, best) -> None:
+        """Verifies the windows that hold words running of a passage."""
+        sizes = np.array(SIZES)
+        for n, (gram, of_block, of_item, some) in self.grams.items():
+            there = rolling(words, n, n)
+            at = np.flatnonzero(some[(there >> U(44)).astype(np.int64)])
+            lo, hi = np.searchsorted(gram, there[at]), np.searchsorted(gram, there[at], "right")
+            row = np.searchsorted(begins, at, "right") - 1
+            count = np.where(at + n <= begins[row + 1], hi - lo, 0)
+            hit = np.repeat(np.arange(len(at)), count)
+            if not len(hit):
+                continue
+            entry = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + lo[hit]
+            block, item = of_block[entry], of_item[entry]
+            size = np.zeros(len(hit), np.int64)
+            for i, b in enumerate(self.blocks):
+                size[block == i] = sizes[b.scale[item[block == i]]]
+            # the first of the windows that hold the place
+            begin, end = begins[row[hit]], begins[row[hit] + 1]
+            start = begin + np.minimum((at[hit] - begin) // (size // 2) * (size // 2), np.maximum(end - begin - size, 0))
+            end = np.minimum(start + size, end)
+            for i, k, a, b in np.unique(np.stack([block, item, start, end], axis=1), axis=0).tolist():
+                self._verify(self.blocks[i], k, lambda i=i, k=k, a=a, b=b: self._cosine(i, k, terms[a:b]), a, b, words, begins, best)
+
+    def _cosine(self, i: int, k: int, terms: np.ndarray) -> float:
+        """A window's cosine with a passage, as _windows takes it."""
+        block = self.blocks[i]
+        term, count = np.unique(terms, return_counts=True)
+        value = np.sqrt(count) * self.idf[term]
+        p = self.place[i][term]
+        return float(value[p >= 0] @ (block.space[p[p >= 0]] @ block.q[k]) / np.sqrt(value @ value))
+
     def _windows(self, scale, start, end, norm, words, terms, inside, begins, best) -> None:
         size = end - start
         of = np.repeat(np.arange(len(start)), size)
@@ -223,7 +277,7 @@ class Search:
                 # cosine with the passage as a whole, in the latent space
                 score = (dense @ self.folded(block, items, scale)) / np.sqrt(norm[lo : lo + 256, None])
                 for w, k in zip(*np.nonzero(score >= self.cosine), strict=True):
-                    self._verify(block, int(items[k]), float(score[w, k]), int(start[lo + w]), int(end[lo + w]), words, begins, best)
+                    self._verify(block, int(items[k]), lambda c=score[w, k]: float(c), int(start[lo + w]), int(end[lo + w]), words, begins, best)
 
     def folded(self, block: Block, items: np.ndarray, scale: int) -> np.ndarray:
         """space @ q' for a block's passages: passages as seen through the latent space."""
@@ -233,7 +287,7 @@ class Search:
             block.seen[scale] = np.ascontiguousarray(block.space @ block.q[items].T)
         return block.seen[scale]
 
-    def _verify(self, block: Block, k: int, cosine: float, start: int, end: int, words, begins, best) -> None:
+    def _verify(self, block: Block, k: int, cosine, start: int, end: int, words, begins, best) -> None:
         row = int(np.searchsorted(begins, start, "right")) - 1
         old = best.get((row, block.items[k]), (0.0, 0.0))
         if old[1] >= 1:
@@ -241,10 +295,12 @@ class Search:
         passage = block.words[k]
         lo, hi = max(int(begins[row]), start - len(passage)), min(int(begins[row + 1]), end + len(passage))
         there = words[lo:hi].tolist()
-        share = common(passage.tolist(), there) / len(passage)
         keys = block.keys[k]
-        if share >= self.lcs and len(keys.intersection(there)) >= self.keys * len(keys):
-            best[row, block.items[k]] = max(old, (cosine, share), key=lambda x: (x[1], x[0]))
+        if len(keys.intersection(there)) < self.keys * len(keys):
+            return
+        share = common(passage.tolist(), there) / len(passage)
+        if share >= self.lcs and share >= old[1]:
+            best[row, block.items[k]] = max(old, (cosine(), share), key=lambda x: (x[1], x[0]))
 
 
 def _searched(search, only_clean: bool):

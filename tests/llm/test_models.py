@@ -157,6 +157,27 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(40)]
 
 
+@pytest.mark.parametrize("changed", [0, 4])
+def test_decontamination_of_a_passage_that_a_third_holds(spark, changed):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("bcdfglmnrstaeiou", k=7))
+    items = [(k, " ".join(word() for _ in range(17 + k))) for k in range(6)]
+    rows, planted = [], set()
+    for k in range(300):
+        i, w = k // 3 % 6, []
+        if k % 3 == 0:
+            # every fourth word another, at most
+            w = [word() if changed and j % changed == 3 else x for j, x in enumerate(items[i][1].split())]
+            planted.add((k, i))
+        rows.append((k, " ".join([word() for _ in range(rng.randint(30, 90))] + w + [word() for _ in range(rng.randint(30, 90))]), "", "", ""))
+    # all passages' words stand in a third of all documents
+    rows += [(1000 + k, " ".join(rng.sample(all_ := " ".join(t for _, t in items).split(), len(all_))), "", "", "") for k in range(150)]
+    # the words that change are not the rarest
+    rows += [(2000 + k, " ".join(w for _, t in items for w in t.split()[3::4]), "", "", "") for k in range(50)]
+    got = dc.benchmark_matches(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.doc_id < 1000} == planted and all(0 < r.cosine <= 1 + 1e-6 for r in got)
+
+
 def test_decontamination_answers_and_nothing(spark):
     docs = spark.createDataFrame([(1, "when did the first ship land here it was in spring", "", "", "")], DOCS)
     bench = spark.createDataFrame([(1, "when did the first ship land here it was", "spring"), (2, "when did the first ship land here it was", "autumn")], "item_id long, text string, answer string")
