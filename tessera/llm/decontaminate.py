@@ -1,8 +1,9 @@
 """Finding benchmark passages in documents: latent semantic retrieval, then longest common subsequence and key words.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. Benchmark passages are dealt into blocks; each block's TF-IDF matrix gets a randomised singular value decomposition
-   in a task of its own. With a rank of a block's passages (the default) nothing of its passages is lost.
+2. Benchmark passages are dealt by number into blocks of at most 256; each block's TF-IDF matrix, its rows of length one,
+   gets a randomised singular value decomposition in a task of its own. With a rank of a block's passages (the default)
+   nothing of its passages is lost.
 3. Windows of several sizes run over every whole document. A window's cosine with a passage is taken in the block's
    latent space; a window whose share of benchmark words bounds the cosine below the threshold is passed over. Whatever
    its cosine, a window that holds three words running of a passage, one of its rarest third among them, is a candidate
@@ -18,10 +19,10 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, cut, hash_spans, parts, rolling, spans, utf8
+from tessera.llm.common import U, cut, hash_spans, parts, pieces, rolling, spans, utf8
 from tessera.session import ship
 
 BITS = 18
@@ -120,6 +121,8 @@ class Block:
         a = np.zeros((len(items), len(self.terms)))
         for i, (t, n) in enumerate(terms):
             a[i, np.searchsorted(self.terms, t)] = np.sqrt(n) * idf[t]
+        # else a lower rank would cut the short passages first
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
         _, _, v = randomised_svd(a, rank)
         self.space = v.T.astype(np.float32)
         q = a @ v.T
@@ -324,6 +327,17 @@ def _searched(search, only_clean: bool):
     return run
 
 
+def _dealt(items: DataFrame) -> DataFrame:
+    """items with their block: the number of a passage (repeated ones have the same) div BLOCK, counted part by part."""
+    spark = items.sparkSession
+    dealt = cut(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces(items.count(), BLOCK)))))
+    each = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count_distinct("item_id", "text").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in each)]).tolist()
+    first = spark.createDataFrame([(p, n) for (p, _), n in zip(each, before, strict=False)] or [(0, 0)], "part long, first long")
+    number = F.dense_rank().over(Window.partitionBy("part").orderBy("item_id", "text")) - 1 + F.col("first")
+    return dealt.join(F.broadcast(first), "part").withColumn("block", F.floor(number / BLOCK)).drop("part", "first")
+
+
 def _searches(docs: DataFrame, benchmark: DataFrame, rank: int, cosine: float, lcs: float, keys: float):
     """Broadcasts, one for each group of blocks."""
     spark = docs.sparkSession
@@ -331,10 +345,7 @@ def _searches(docs: DataFrame, benchmark: DataFrame, rank: int, cosine: float, l
     idf = np.log((1 + n) / (1 + df)) + 0.05
     answer = F.col("answer").cast("string") if "answer" in {c.lower() for c in benchmark.columns} else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("item_id").isNotNull())
-    total = items.count()
-    blocks = -(-total // BLOCK)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
-    built = cut(dealt.groupBy("block").applyInArrow(_svd(idf, rank), "block binary").withColumn("k", F.monotonically_increasing_id()))
+    built = cut(_dealt(items).groupBy("block").applyInArrow(_svd(idf, rank), "block binary").withColumn("k", F.monotonically_increasing_id()))
     names = sorted(r["k"] for r in built.select("k").collect())
     for lo in range(0, len(names), BLOCKS_AT_ONCE):
         got = built.where(F.col("k").isin(names[lo : lo + BLOCKS_AT_ONCE])).collect()

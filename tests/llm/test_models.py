@@ -157,6 +157,18 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(40)]
 
 
+def test_decontamination_blocks_keep_every_passage(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("bcdfglmnrstaeiou", k=7))
+    items = [(k, " ".join(word() for _ in range(rng.randint(14, 60)))) for k in range(1100)] + [(5, "twice")] * 40
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    size = dc._dealt(bench).groupBy("block").agg(F.count_distinct("item_id", "text").alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted(r.n for r in size) == [77] + [256] * 4 and sum(r.rows for r in size) == 1140
+    docs = spark.createDataFrame([(k, t, "", "", "") for k, t in items[:1100]], DOCS)
+    got = dc.benchmark_matches(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(1100)] and min(r.cosine for r in got) > 0.5
+
+
 @pytest.mark.parametrize("changed", [0, 4])
 def test_decontamination_of_a_passage_that_a_third_holds(spark, changed):
     rng = random.Random(13)
