@@ -26,6 +26,7 @@ from tessera.llm.common import U, cut, hash_spans, parts, pieces, rolling, spans
 from tessera.session import ship
 
 BITS = 18
+#: Words of a window; they double further up to the longest passage.
 SIZES = (24, 48, 96)
 RANK = BLOCK = 256
 #: Blocks that are broadcast at a time (each at most 256 x its words), passages in all of them at most 2,048.
@@ -46,6 +47,14 @@ def fold(column) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[data], offsets
 
 
+def sizes_to(longest: int) -> list[int]:
+    """The windows' sizes for passages of up to so many words."""
+    sizes = list(SIZES)
+    while sizes[-1] < longest:
+        sizes.append(2 * sizes[-1])
+    return sizes
+
+
 def _words(text: str | None) -> np.ndarray:
     data, offsets = fold(pa.array([text or ""]))
     s, e, _ = spans(data, offsets)
@@ -128,8 +137,9 @@ class Block:
         q = a @ v.T
         self.q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         size = np.array([len(w) for w in self.words])
-        #: Passages go with the smallest windows that hold them, or the largest there are.
-        self.scale = np.minimum(np.searchsorted(SIZES, size), len(SIZES) - 1)
+        #: Passages go with the smallest windows that hold them.
+        self.sizes = sizes_to(int(size.max()))
+        self.scale = np.searchsorted(self.sizes, size)
         self.keys = []
         #: For each number of words running: their hashes, and the passages they stand in.
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -185,6 +195,8 @@ def windows(begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Search:
     def __init__(self, idf: np.ndarray, blocks: list[Block], cosine: float, lcs: float, keys: float):
         self.idf, self.blocks, self.cosine, self.lcs, self.keys = idf.astype(np.float32), blocks, cosine, lcs, keys
+        self.sizes = max((b.sizes for b in blocks), key=len)
+        self.scales = sorted(set(np.concatenate([b.scale for b in blocks]).tolist()))
         self.inside = np.zeros(len(idf), bool)
         for b in blocks:
             self.inside[b.terms] = True
@@ -212,18 +224,20 @@ class Search:
         inside = self.inside[terms]
         all_, own = np.r_[0, np.cumsum(weight)], np.r_[0, np.cumsum(weight * inside)]
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for scale, size in enumerate(SIZES):
+        for scale in self.scales:
+            size = self.sizes[scale]
             start, end = windows(begins, size)
             norm = all_[end] - all_[start]
             near = np.flatnonzero(own[end] - own[start] >= self.cosine**2 * np.maximum(norm, 1e-9))
-            for lo in range(0, len(near), 4096):
-                self._windows(scale, start[near[lo : lo + 4096]], end[near[lo : lo + 4096]], norm[near[lo : lo + 4096]], words, terms, inside, begins, best)
+            some = max(1, 4096 * SIZES[-1] // max(size, SIZES[-1]))
+            for lo in range(0, len(near), some):
+                self._windows(scale, start[near[lo : lo + some]], end[near[lo : lo + some]], norm[near[lo : lo + some]], words, terms, inside, begins, best)
         self._running(words, terms, begins, best)
         return [(r, i, c, x) for (r, i), (c, x) in best.items()]
 
     def _running(self, words, terms, begins, best) -> None:
         """Verifies the windows that hold words running of a passage."""
-        sizes = np.array(SIZES)
+        sizes = np.array(self.sizes)
         for n, (gram, of_block, of_item, some) in self.grams.items():
             there = rolling(words, n, n)
             at = np.flatnonzero(some[(there >> U(44)).astype(np.int64)])

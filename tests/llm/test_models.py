@@ -190,6 +190,18 @@ def test_decontamination_of_a_passage_that_a_third_holds(spark, changed):
     assert {(r.doc_id, r.item_id) for r in got if r.doc_id < 1000} == planted and all(0 < r.cosine <= 1 + 1e-6 for r in got)
 
 
+def test_decontamination_of_long_passages(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choices("bcdfglmnrstaeiou", k=7))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (20, 96, 97, 400, 1200, 4000)]
+    # texts that make the words that change not the rarest
+    other = [(None, "of", "", "", "")] * 2000 + [(None, " ".join(reversed(t.split()[2::3])), "", "", "") for _, t in items] * 3
+    # as it stands, and with every third word another
+    rows = [(n + far, " ".join([word() for _ in range(300)] + [word() if far and j % 3 == 2 else x for j, x in enumerate(t.split())] + [word() for _ in range(300)]), "", "", "") for n, t in items for far in ([0, 10_000] if n > 96 else [0])]
+    got = dc.benchmark_matches(spark.createDataFrame(rows + other, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((r[0], r[0] % 10_000) for r in rows)
+
+
 def test_decontamination_answers_and_nothing(spark):
     docs = spark.createDataFrame([(1, "when did the first ship land here it was in spring", "", "", "")], DOCS)
     bench = spark.createDataFrame([(1, "when did the first ship land here it was", "spring"), (2, "when did the first ship land here it was", "autumn")], "item_id long, text string, answer string")
