@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tessera.llm.common import U, hash_spans, parts, pieces, spans, stored, utf8
 from tessera.session import ship
 
 LENGTH, END = 2048, 0
+#: Classes of lengths that patterns are made of at most, proportions for each of them, and how often they are fitted.
+CLASSES, SHARES, ROUNDS = 2048, 6, 2
 _CACHE_WORDS = 1_500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,11 +109,12 @@ def encoder(path: str | None) -> WordEncoder:
 
 
 def _pieces(length: int, path: str | None, keep_ids: bool):
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("place", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
 
     def cut(batches):
         own = encoder(path)
+        task, written = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             row, piece, size, crc, raw = [], [], [], [], []
@@ -126,51 +130,68 @@ def _pieces(length: int, path: str | None, keep_ids: bool):
                         crc.append(zlib.crc32(x.tobytes()))
                         if keep_ids:
                             raw.append(x.tobytes())
-            columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * length, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            sizes = np.array(size, np.int64)
+            by = np.argsort(sizes, kind="stable")
+            count = np.bincount(sizes, minlength=length + 1)
+            place = np.empty(len(sizes), np.int64)
+            place[by] = np.arange(len(sizes)) + (written - np.cumsum(count) + count)[sizes[by]]
+            written += count
+            columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * length, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64())]
+            columns += [pa.array(np.full(len(sizes), task), pa.int32()), pa.array(place)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * keep_ids, schema=schema)
 
     return cut
 
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids): each row's ids, closed by id 0 and cut into pieces of `length`."""
+    """(doc_id, piece, start, length, ids_crc32, task, place, ids): each row's ids, closed by id 0 and cut into pieces of
+    `length`. place numbers a task's pieces of a length from 0; both stay as they are only once the rows are stored."""
     ship(docs.sparkSession)
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(length, tokenizer, keep_ids), kind)
 
 
 # ---------------------------------------------------------------- plan
 
 
-def patterns_of(have: np.ndarray, length: int) -> np.ndarray:
-    """Patterns of two to four lengths (rows of four, 0 for none) that fill a sequence exactly or as nearly as lengths allow.
+def patterns_of(supply: np.ndarray, most: int, shares: int = SHARES) -> np.ndarray:
+    """Patterns of two to four sizes (rows of four, 0 for none) that fill `most` exactly, or as nearly as sizes allow.
 
-    have: the lengths that occur. For every length, and every count of further documents, the rest is split among them
-    in a few proportions; each part takes the largest length that occurs and still fits.
+    supply: how many pieces there are of each size. For each size that occurs: itself and the rest; itself twice and
+    three times and the rest; and `shares` further sizes, which follow the supply, with the rest whole and parted once
+    more. At most 3 + 2 x shares patterns for each size.
     """
-    floor = np.full(length + 1, 0)
+    have = np.flatnonzero(supply[: most + 1])
+    have = have[have > 0]
+    floor = np.zeros(most + 1, np.int64)
     floor[have] = have
     floor = np.maximum.accumulate(floor)
-    out = []
-    for first in have[have < length]:
-        rest = length - first
-        out.append((first, floor[rest], 0, 0))
-        for share in np.arange(1, 12) / 12:
-            b = floor[int(rest * share)]
-            if b:
-                c = floor[rest - b]
-                out.append((first, b, c, 0))
-                for part in (1 / 4, 1 / 2, 3 / 4):
-                    if c0 := floor[int((rest - b) * part)]:
-                        out.append((first, b, c0, floor[rest - b - c0]))
-    rows = np.sort(np.array(out or np.zeros((0, 4)), np.int64).reshape(-1, 4), axis=1)[:, ::-1]
-    return np.unique(rows, axis=0)
+    sums = np.cumsum(supply)
+    first = have[have < most]
+    rest, none = most - first, 0 * first
+
+    def drawn(room: np.ndarray, quantile: np.ndarray) -> np.ndarray:
+        return floor[np.minimum(np.searchsorted(sums, quantile * sums[room], "right"), room)]
+
+    rows = [np.stack([first, floor[rest], none, none], axis=1)]
+    for m in (2, 3):
+        f = first[m * first <= most]
+        rows.append(np.stack([f, f, f * (m > 2), floor[most - m * f]], axis=1))
+    for k in range(shares):
+        # steps of the golden ratio and of its square, which cover the quantiles evenly from size to size
+        part, split = ((first * g + (k + 0.5) / shares) % 1 for g in (0.6180339887, 0.3819660113))
+        b = drawn(rest, part)
+        rows.append(np.stack([first, b, floor[rest - b], none], axis=1))
+        c = drawn(rest - b, split)
+        rows.append(np.stack([first, b, c, floor[rest - b - c]], axis=1))
+    out = np.sort(np.concatenate(rows), axis=1)[:, ::-1]
+    return np.unique(out[out[:, 1] > 0], axis=0)
 
 
 def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.ndarray:
     """Repeat counts x >= 0 with patterns.T x near the histogram: least squares by accelerated projected gradient.
 
-    A length's difference weighs by its tokens, so that short pieces are kept for the long ones' gaps. Each step is divided by what a pattern's lengths meet in other patterns, which bounds the curvature.
+    A size's difference weighs by its tokens, so that short pieces are kept for the long ones' gaps. Each step is divided by what a pattern's sizes meet in other patterns, which bounds the curvature.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -195,47 +216,113 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.nda
     return x
 
 
-def plan_of(histogram: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
-    """Slots (piece length, first rank, ranks, first sequence, offset) that place every piece of the histogram.
+def rounded(patterns: np.ndarray, x: np.ndarray, supply: np.ndarray) -> np.ndarray:
+    """Whole repeat counts near x that the supply of each size covers.
 
-    The ranks of a length are its pieces in any fixed order; slot by slot they go to sequences in a row.
+    The whole parts come first. What is left over of each largest size then goes to its patterns in the order of what
+    rounding took from them, so that a count that the fit spread over many patterns isn't lost.
+    """
+    left, times = supply.copy(), np.zeros(len(patterns), np.int64)
+
+    def take(i: int, most: int) -> int:
+        own = [int(v) for v in patterns[i] if v]
+        n = min(most, *(int(left[v]) // own.count(v) for v in own))
+        for v in own:
+            left[v] -= n
+        times[i] += n
+        return n
+
+    whole = np.floor(x).astype(np.int64)
+    for i in np.flatnonzero(whole)[np.argsort(-x[whole > 0], kind="stable")]:
+        take(i, int(whole[i]))
+    part = x - times
+    largest = patterns[:, 0]
+    wanted = np.bincount(largest, weights=x, minlength=len(supply)) - np.bincount(largest, weights=times, minlength=len(supply))
+    wanted = np.rint(wanted).astype(np.int64)
+    # the largest sizes first, which fit in the fewest places
+    for i in np.lexsort((-part, -largest)):
+        if wanted[largest[i]] > 0 and part[i] > 0:
+            wanted[largest[i]] -= take(i, 1 + int(part[i]))
+    return times
+
+
+def fitted(histogram: np.ndarray, length: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """(lengths of a sequence: how often, what is left of the histogram), by patterns of classes of lengths.
+
+    Lengths are put into at most `classes` classes of equal width, each counted as its largest length, so that patterns
+    always fit. Patterns are enumerated over the classes that still have pieces, fitted, rounded, and taken from the
+    supply; what rounding leaves is fitted again, at most `rounds` times. Their number depends on neither rows nor data.
     """
-    left = histogram.astype(np.int64).copy()
+    width = pieces(length, classes)
+    most = length // width
+    left, out = histogram.astype(np.int64).copy(), {}
     left[0] = 0
-    slots, taken, sequence = [], np.zeros(len(left), np.int64), 0
+    if left[length]:
+        out[(length,)] = int(left[length])
+        left[length] = 0
+    of = np.minimum(-(-np.arange(length + 1) // width), most)
+    for _ in range(rounds):
+        usable = np.where(of * width >= np.arange(length + 1), left, 0)
+        supply = np.bincount(of, weights=usable, minlength=most + 1).astype(np.int64)
+        patterns = patterns_of(supply, most)
+        # what a sequence leaves empty is lost, so only patterns that fill it to the last class take part
+        patterns = patterns[patterns.sum(axis=1) >= most - 1]
+        times = rounded(patterns, fit(patterns, supply.astype(float)), supply)
+        if not times.any():
+            break
+        for i in np.flatnonzero(times):
+            for own, n in _exact(patterns[i][patterns[i] > 0], int(times[i]), width, left, usable):
+                out[own] = out.get(own, 0) + n
+    return out, left
+
+
+def _exact(classes: np.ndarray, times: int, width: int, left: np.ndarray, usable: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Takes pieces of real lengths for a pattern of classes, the longest first; (lengths, how often)."""
+    runs = []
+    for c in classes.tolist():
+        need, own = times, []
+        for x in range(c * width, max(0, (c - 1) * width), -1):
+            if n := min(need, int(usable[x])):
+                own.append([x, n])
+                usable[x] -= n
+                left[x] -= n
+                need -= n
+        runs.append(own)
+    out = []
+    while times:
+        n = min(own[0][1] for own in runs)
+        out.append((tuple(own[0][0] for own in runs), n))
+        times -= n
+        for own in runs:
+            own[0][1] -= n
+            if not own[0][1]:
+                own.pop(0)
+    return out
+
 
-    def place(pattern: list[int], times: int) -> None:
-        nonlocal sequence
+def plan_of(histogram: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
+    """Slots (piece length, first rank, ranks, first sequence, offset) that place every piece of the histogram.
+
+    The ranks of a length are its pieces in any fixed order; slot by slot they go to sequences in a row. Fitted patterns
+    are placed first; best fit then puts what they leave into their gaps and into further sequences.
+    """
+    patterns, left = fitted(histogram, length)
+    slots, taken, sequence = [], np.zeros(len(histogram), np.int64), 0
+    for pattern, times in best_fit(left, length, patterns):
         offset = 0
         for x in pattern:
             slots.append((int(x), int(taken[x]), times, sequence, offset))
             taken[x] += times
-            left[x] -= times
             offset += int(x)
         sequence += times
-
-    if left[length]:
-        place([length], int(left[length]))
-    have = np.flatnonzero(left)
-    patterns = patterns_of(have, length)
-    x = fit(patterns, left.astype(float))
-    fill = patterns.sum(axis=1)
-    for i in np.lexsort((-x, -patterns[:, 0])):
-        if x[i] < 1 or fill[i] < length - 8:
-            continue
-        own = [int(v) for v in patterns[i] if v]
-        times = min(int(x[i]), *(int(left[v]) // own.count(v) for v in own))
-        if times:
-            place(own, times)
-    for pattern, times in best_fit(left, length):
-        place(pattern, times)
     return slots
 
 
-def best_fit(histogram: np.ndarray, length: int) -> list[tuple[list[int], int]]:
+def best_fit(histogram: np.ndarray, length: int, begun: dict[tuple[int, ...], int] | None = None) -> list[tuple[list[int], int]]:
     """(pattern, times) of best fit decreasing: the longest first, each into the fullest sequence that has room.
 
-    Pieces of one length and sequences of one filling move together, so that the work depends on the number of lengths.
+    begun: sequences that hold pieces already. Pieces of one length and sequences of one filling move together, so that
+    the work depends on the number of lengths.
     """
     left, room = histogram.copy(), np.zeros(length + 1, np.int64)
     groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -244,6 +331,8 @@ def best_fit(histogram: np.ndarray, length: int) -> list[tuple[list[int], int]]:
         groups.setdefault(gap, []).append((pattern, times))
         room[gap] += times
 
+    for pattern, times in (begun or {}).items():
+        put(length - sum(pattern), pattern, times)
     for x in np.flatnonzero(left)[::-1].tolist():
         c = int(left[x])
         while c and len(gaps := np.flatnonzero(room[x:])):
@@ -267,30 +356,44 @@ def best_fit(histogram: np.ndarray, length: int) -> list[tuple[list[int], int]]:
 # ---------------------------------------------------------------- operator
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, keep_ids: bool = True, rank_rows: int = 2048) -> DataFrame:
+def _place(plan, names: list[str]):
+    """Looks a piece's slot up by its length and rank."""
+
+    def place(batches):
+        key, first, sequence, offset = plan.value
+        for batch in batches:
+            length, rank = (np.asarray(batch.column(c)).astype(np.int64) for c in ("length", "rank"))
+            # ranks stay below 2**51, lengths below 2**12
+            at = np.searchsorted(key, length << 51 | rank, "right") - 1
+            own = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[at] + rank - first[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*names, "sequence_id", "offset"])
+
+    return place
+
+
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids (with keep_ids: little-endian unsigned 32-bit),
     sequence_id (long, from 0 without gaps) and offset.
 
     tokenizer: a file for the tokenizers library whose pieces don't cross white space. Only a document of over `length`
-    ids is cut. Only doc_id and text are read; a null or empty text is the closing id alone. Null or repeated ids are
-    rows like others. Only the histogram of lengths (`length` numbers at most) comes to the driver. No rows give none.
+    ids (at most 4,095) is cut. Only doc_id and text are read; a null or empty text is the closing id alone. Null or
+    repeated ids, and whole rows that repeat, are rows like others: a piece's rank is where it was written, whatever it
+    holds. Only the histogram of lengths (`length` numbers at most) comes to the driver; the plan that goes out depends
+    on the number of lengths and patterns and not on the rows. No rows give none.
     """
+    if not 0 < length < 4096:
+        raise ValueError("length must be between 1 and 4095")
     spark = docs.sparkSession
     cut = stored(token_pieces(docs, length, tokenizer, keep_ids))
-    counts = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    # how many pieces of each length each task wrote; their sums over the tasks say where a task's ranks begin
+    sizes = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(length + 1, np.int64)
-    for r in counts:
+    for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[r["length"]] = r["n"]
-    slots = plan_of(histogram, length)
-    # bounded by the number of lengths and patterns, which don't grow with the rows
-    plan = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, first long, times long, sequence long, offset long")
-    # ranks within a length, in groups that stay small however many pieces have that length
-    n_groups = pieces(int(histogram.sum()), rank_rows)
-    grouped = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
-    sizes = grouped.groupBy("length", "g").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("length", "g", (F.sum("n").over(Window.partitionBy("length").orderBy("g")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = grouped.withColumn("own", own).join(before, ["length", "g"]).withColumn("rank", F.col("before") + F.col("own"))
-    p = F.broadcast(plan.withColumnRenamed("length", "of"))
-    placed = ranked.join(p, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    slots = np.array(sorted(plan_of(histogram, length)) or [(0, 0, 0, 0, 0)], np.int64)
+    plan = spark.sparkContext.broadcast((slots[:, 0] << 51 | slots[:, 1], slots[:, 1], slots[:, 3], slots[:, 4]))
+    before = sizes.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    ranked = cut.join(before, ["length", "task"]).select(*names, (F.col("before") + F.col("place")).alias("rank"))
+    kinds = cut.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(_place(plan, names), kinds)

@@ -1,12 +1,14 @@
 """Packing and sharding: validity, exact tokens, nearness to the least possible."""
 
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.pack import pack, plan_of
+from tessera.llm.pack import CLASSES, ROUNDS, SHARES, fitted, pack, patterns_of, plan_of, rounded, token_pieces
 from tessera.llm.queries import op5_best_fit_packing, op8_sharding
 from tessera.llm.shard import shuffle_shards
 
@@ -52,6 +54,48 @@ def test_plans_place_every_piece_once(seed):
     assert plan_of(np.zeros(length + 1, np.int64), length) == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_fitted_patterns_place_most_pieces(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    h = np.zeros(2049, np.int64)
+    for r in token_pieces(docs, keep_ids=False).groupBy("length").count().collect():
+        h[r["length"]] = r["count"]
+    plans = {}
+    for times in (1, 10, 1000):
+        patterns, left = fitted(h * times, 2048)
+        placed_by = sum(n * len(p) for p, n in patterns.items() if len(p) > 1)
+        assert placed_by + left.sum() + h[2048] * times == h.sum() * times
+        assert placed_by > 0.8 * (placed_by + left.sum()), (sf, times)
+        slots = plan_of(h * times, 2048)
+        least = -(-int((h * np.arange(2049)).sum()) * times // 2048)
+        assert least <= max(s[3] + s[2] for s in slots) <= 1.01 * least
+        plans[times] = len(slots)
+    # the plan goes with lengths and patterns, not with rows
+    assert plans[1000] < 4 * (3 + 2 * SHARES) * CLASSES * ROUNDS and plans[1000] < 4 * plans[10]
+
+
+def test_patterns_and_rounding():
+    have = np.array([1, 5, 30, 64, 90, 100])
+    patterns = patterns_of(np.bincount(have, minlength=129) * 7, 128)
+    assert len(patterns) <= len(have) * (3 + 2 * SHARES) and (patterns.sum(axis=1) <= 128).all()
+    assert set(patterns.ravel().tolist()) <= {0, *have.tolist()} and (patterns[:, 1] > 0).all()
+    # a count spread over many patterns isn't rounded away, and no size is taken more often than it occurs
+    patterns = np.array([[100, 28 - k, k, 0] for k in range(1, 11)])
+    supply = np.full(129, 2)
+    supply[100] = 3
+    times = rounded(patterns, np.full(10, 0.3), supply)
+    assert times.sum() == 3
+    assert rounded(patterns, np.full(10, 0.3), np.zeros(129, np.int64)).sum() == 0
+
+
+def test_repeated_rows_are_told_apart_by_place(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    got = pack(docs.repartition(7), keep_ids=False)
+    row = got.agg(F.count("*").alias("n"), F.count_distinct("sequence_id", "offset").alias("places"), F.max("sequence_id").alias("last"), F.max("length").alias("size")).first()
+    assert row.n == row.places == 100_000 and row.last + 1 == -(-100_000 // (2048 // row.size))
+
+
 def texts():
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("aeioubcdÄéßñ", k=rng.randint(1, 12)))
