@@ -1,15 +1,16 @@
 """Finding benchmark passages in documents: latent semantic retrieval, then longest common subsequence and key words.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. Benchmark passages are dealt by number into blocks of at most 256; each block's TF-IDF matrix, its rows of length one,
-   gets a randomised singular value decomposition in a task of its own. With a rank of a block's passages (the default)
-   nothing of its passages is lost.
-3. Windows of several sizes run over every whole document. A window's cosine with a passage is taken in the block's
-   latent space; a window whose share of benchmark words bounds the cosine below the threshold is passed over. Whatever
-   its cosine, a window that holds three words running of a passage, one of its rarest third among them, is a candidate
-   too: the more documents hold a passage, the less its words weigh, so that weights alone would lose its copies.
+2. All passages' TF-IDF vectors, of length one, make a sparse matrix that stays spread over the executors. A randomised
+   singular value decomposition takes only products with it, each a job that adds up what its rows give; its rank stays
+   well below the passages' number.
+3. Windows of several sizes run over every whole document. A window's cosine with a passage is taken in the latent
+   space; a window in whose weight benchmark words have too small a part is passed over. Whatever its cosine, a window that holds three words running of a passage, one of its rarest third among them, is a candidate too:
+   a space of low rank keeps what passages have in common, and the more documents hold a passage, the less its words
+   weigh, so that weights alone would lose copies.
 4. A candidate is kept if enough of the passage's words stand around the window in order, and enough of its key words
-   (an answer's words where the benchmark has them, else the rarest words) are among them.
+   (an answer's words where the benchmark has them, else the rarest words) are among them. Where the latent cosine is
+   high, as with a paraphrase, fewer words in order are asked for, but all key words.
 """
 
 from __future__ import annotations
@@ -18,34 +19,30 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, cut, hash_spans, parts, pieces, rolling, spans, utf8
-from tessera.session import ship
+from tessera.llm.common import U, cut, hash_spans, parts, pieces, rolling, spans
+from tessera.llm.frequencies import BITS, document_frequencies, fold, terms_of
 
-BITS = 18
 #: Words of a window; they double further up to the longest passage.
 SIZES = (24, 48, 96)
-RANK = BLOCK = 256
-#: Blocks that are broadcast at a time (each at most 256 x its words), passages in all of them at most 2,048.
-BLOCKS_AT_ONCE = 8
-COSINE, LCS, KEYS = 0.35, 0.6, 0.5
+#: Words that are added up first; it divides half of every size.
+STEP = 12
+#: Directions of the latent space at most, and passages of a block.
+RANK, BLOCK = 128, 256
+#: Blocks that are broadcast at a time: documents are read once for every 32,768 passages.
+BLOCKS_AT_ONCE = 128
+#: A window's latent cosine with a candidate; what part of its weight must be benchmark words'; what a candidate must hold
+#: of the passage's words in order, and of its key words.
+COSINE, SHARE, LCS, KEYS = 0.5, 0.15, 0.6, 0.5
+#: From this cosine on, what lies outside of the space counting against, a window may be a paraphrase; this share of the
+#: passage's words in order is then enough.
+PARAPHRASE, LCS_PARAPHRASE = 0.5, 0.3
+#: Tasks that a product is added up from at most, and terms of a block of its rows.
+TASKS, TERMS = 64, 512
 #: Words running of a passage that make a window a candidate (a shorter passage's words all).
 GRAM = 3
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-for _c in range(128):
-    if not chr(_c).isalnum():
-        _FOLD[_c] = 32
-
-
-def fold(column) -> tuple[np.ndarray, np.ndarray]:
-    """A column's bytes with A-Z in lower case and ASCII punctuation as spaces, and the offsets."""
-    data, offsets = utf8(column)
-    return _FOLD[data], offsets
-
 
 def sizes_to(longest: int) -> list[int]:
     """The windows' sizes for passages of up to so many words."""
@@ -61,81 +58,145 @@ def _words(text: str | None) -> np.ndarray:
     return hash_spans(data, s, e) if len(s) else np.zeros(0, U)
 
 
-def _terms(words: np.ndarray) -> np.ndarray:
-    return (words >> U(64 - BITS)).astype(np.int64)
+# ---------------------------------------------------------------- latent space
+
 
+def leading_directions(sketch: np.ndarray, normal, rank: int, power: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right singular vectors as columns) of the leading `rank` directions of a matrix A.
 
-# ---------------------------------------------------------------- document frequencies
+    sketch: A' times random columns; normal(q): A'Aq. A random range finder with power iterations, then a small exact
+    decomposition of q'A'Aq.
+    """
+    q = np.linalg.qr(sketch)[0]
+    for _ in range(power):
+        q = np.linalg.qr(normal(q))[0]
+    value, vector = np.linalg.eigh(q.T @ normal(q))
+    value, vector = value[::-1][:rank], vector[:, ::-1][:, :rank]
+    s = np.sqrt(np.maximum(value, 0))
+    keep = s > 1e-6 * (s[0] if len(s) else 1)
+    return s[keep], (q @ vector)[:, keep]
 
 
-def _count(batches):
-    counts, rows = np.zeros(1 << BITS, np.int64), 0
+def randomised_svd(a: np.ndarray, rank: int, seed: int = 11, power: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, s, v of the leading `rank` directions of a matrix in memory."""
+    k = min(rank + 8, *a.shape)
+    s, v = leading_directions(a.T @ np.random.default_rng(seed).standard_normal((len(a), k)), lambda q: a.T @ (a @ q), rank, power)
+    return a @ v / s, s, v.T
+
+
+def _vectors(texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value, hash of the row's words) of texts' TF-IDF vectors of length one, by row and term."""
+    row, term, value, names = [], [], [], []
+    for i, text in enumerate(texts):
+        w = _words(text)
+        t, n = np.unique(terms_of(w), return_counts=True)
+        x = np.sqrt(n) * idf[t]
+        row.append(np.full(len(t), i))
+        term.append(t)
+        value.append(x / max(float(np.linalg.norm(x)), 1e-12))
+        names.append(int(rolling(w, len(w), 7)[0]) if len(w) else 0)
+    return (*(np.concatenate([np.zeros(0, k), *x]) for x, k in ((row, np.int64), (term, np.int64), (value, np.float64))), np.array(names, U))
+
+
+def _product(shared, k: int, seed: int):
+    """A task's share of A'Aq, or of A' times random columns where there is no q, in blocks of its rows."""
+
+    def multiply(batches):
+        idf, place, q = shared.value
+        total = np.zeros((int(place.max()) + 1, k))
+        for batch in batches:
+            row, term, value, names = _vectors(batch.column("text").to_pylist(), idf)
+            if not len(row):
+                continue
+            at = place[term]
+            if q is None:
+                # a passage's random numbers go with its words, wherever it lies
+                side = np.stack([np.random.default_rng([seed, int(n)]).standard_normal(k) for n in names])
+            else:
+                side = np.zeros((batch.num_rows, k))
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                side[row[first]] = np.add.reduceat(q[at] * value[:, None], first)
+            by = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.r_[True, at[by][1:] != at[by][:-1]])
+            for lo in range(0, len(first), 4096):
+                own = first[lo : lo + 4096]
+                end = first[lo + 4096] if lo + 4096 < len(first) else len(by)
+                some = by[own[0] : end]
+                total[at[by][own]] += np.add.reduceat(side[row[some]] * value[some][:, None], own - own[0])
+        for b in range(0, len(total), TERMS):
+            if total[b : b + TERMS].any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([total[b : b + TERMS].tobytes()], pa.binary())], names=["first", "sums"])
+
+    return multiply
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = 0
+    for x in table["sums"]:
+        total = total + np.frombuffer(x.as_py())
+    return pa.Table.from_arrays([table["first"][:1].combine_chunks(), pa.array([total.tobytes()], pa.binary())], names=["first", "sums"])
+
+
+def _present(batches):
     for batch in batches:
-        data, offsets = fold(batch.column("text"))
-        rows += batch.num_rows
-        for lo, hi in parts(offsets):
-            piece = data[offsets[lo] : offsets[hi]]
-            s, e, begins = spans(piece, offsets[lo : hi + 1] - offsets[lo])
-            if len(s):
-                code = np.repeat(np.arange(hi - lo), np.diff(begins)) << BITS | _terms(hash_spans(piece, s, e))
-                code.sort()
-                counts += np.bincount(code[np.r_[True, code[1:] != code[:-1]]] & ((1 << BITS) - 1), minlength=1 << BITS)
-    if rows:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        each = (1 << BITS) // 16
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([rows] * 16, pa.int64()), pa.array([pack(counts[k * each : (k + 1) * each].astype(np.uint32).tobytes()) for k in range(16)], pa.binary())], names=["part", "docs", "counts"])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor().decompress
-    total = sum(np.frombuffer(unpack(x), np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
-    rows = sum(table["docs"].to_pylist())
-    return pa.Table.from_arrays([pa.array([table["part"][0].as_py()], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "docs", "counts"])
-
-
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(documents, in how many of them each of 2**18 hashed words stands). A fixed 2 MB comes to the driver."""
-    ship(docs.sparkSession)
-    kind = "part int, docs long, counts binary"
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, kind).groupBy("part").applyInArrow(_merge, kind).orderBy("part").collect()
-    if not rows:
-        return 0, np.zeros(1 << BITS, np.int64)
-    return rows[0]["docs"], np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+        for text in batch.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms_of(_words(text))))], names=["term"])
 
 
-# ---------------------------------------------------------------- latent space
+class Space:
+    """The latent space: where each term's row of `v` is (-1: no passage has the term)."""
 
+    def __init__(self, idf: np.ndarray, place: np.ndarray, v: np.ndarray):
+        self.idf, self.place, self.v = idf, place, v.astype(np.float32)
 
-def randomised_svd(a: np.ndarray, rank: int, seed: int = 11, power: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u, s, v of the leading `rank` directions: a random range finder with power iterations, then a small exact one."""
-    rng = np.random.default_rng(seed)
-    k = min(rank + 8, *a.shape)
-    y = a @ rng.standard_normal((a.shape[1], k))
-    for _ in range(power):
-        y = a @ np.linalg.qr(a.T @ np.linalg.qr(y)[0])[0]
-    q = np.linalg.qr(y)[0]
-    u, s, v = np.linalg.svd(q.T @ a, full_matrices=False)
-    keep = s[:rank] > 1e-9 * (s[0] if len(s) else 1)
-    return (q @ u)[:, :rank][:, keep], s[:rank][keep], v[:rank][keep]
+    def directions(self, texts) -> np.ndarray:
+        """Texts as rows of the space, of length one (or zero)."""
+        row, term, value, _ = _vectors(texts, self.idf)
+        out = np.zeros((len(texts), self.v.shape[1]), np.float32)
+        if len(row):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[row[first]] = np.add.reduceat(self.v[self.place[term]] * value[:, None], first)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 11) -> Space:
+    """The space of passages (text): a randomised singular value decomposition by products that Spark adds up.
+
+    The driver holds rank + 8 columns over the passages' hashed words, of which there are 2**18 at most.
+    """
+    spark = items.sparkSession
+    texts = items.select("text").coalesce(TASKS)
+    n = items.count()
+    terms = np.array(sorted(r["term"] for r in texts.mapInArrow(_present, "term long").distinct().collect()), np.int64)
+    place = np.full(len(idf), -1, np.int64)
+    place[terms] = np.arange(len(terms))
+    if not len(terms):
+        return Space(idf, place, np.zeros((0, 1)))
+    rank = min(rank, n)
+    k = min(rank + 8, n, len(terms))
+
+    def product(q: np.ndarray | None) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((idf, place, q))
+        got = texts.mapInArrow(_product(shared, k, seed), "first long, sums binary").groupBy("first").applyInArrow(_added, "first long, sums binary").collect()
+        out = np.zeros((len(terms), k))
+        for r in got:
+            sums = np.frombuffer(r["sums"]).reshape(-1, k)
+            out[r["first"] : r["first"] + len(sums)] = sums
+        shared.unpersist()
+        return out
+
+    _, v = leading_directions(product(None), product, rank)
+    return Space(idf, place, v)
 
 
 class Block:
-    """Passages and their latent space."""
+    """Passages, their places in the latent space, and their key words."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]], idf: np.ndarray, rank: int):
+    def __init__(self, items: list[tuple[int, str, str | None]], space: Space):
+        idf = space.idf
         self.items = [i for i, _, _ in items]
         self.words = [_words(t) for _, t, _ in items]
-        terms = [np.unique(_terms(w), return_counts=True) for w in self.words]
-        self.terms = np.unique(np.concatenate([t for t, _ in terms]))
-        a = np.zeros((len(items), len(self.terms)))
-        for i, (t, n) in enumerate(terms):
-            a[i, np.searchsorted(self.terms, t)] = np.sqrt(n) * idf[t]
-        # else a lower rank would cut the short passages first
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        _, _, v = randomised_svd(a, rank)
-        self.space = v.T.astype(np.float32)
-        q = a @ v.T
-        self.q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.q = space.directions([t for _, t, _ in items])
         size = np.array([len(w) for w in self.words])
         #: Passages go with the smallest windows that hold them.
         self.sizes = sizes_to(int(size.max()))
@@ -147,7 +208,7 @@ class Block:
         for k, ((_, _, answer), w) in enumerate(zip(items, self.words, strict=True)):
             key = _words(answer)
             u = np.unique(w)
-            rare = u[np.argsort(-idf[_terms(u)], kind="stable")[: max(1, len(u) // 3)]]
+            rare = u[np.argsort(-idf[terms_of(u)], kind="stable")[: max(1, len(u) // 3)]]
             self.keys.append(set((key if len(key) else rare).tolist()))
             if n := min(GRAM, len(w)):
                 holds = np.r_[0, np.cumsum(np.isin(w, rare))]
@@ -157,10 +218,10 @@ class Block:
             self.grams[n] = np.concatenate([g for g, _ in each]), np.concatenate([k for _, k in each])
 
 
-def _svd(idf: np.ndarray, rank: int):
+def _built(space):
     def build(table: pa.Table) -> pa.Table:
-        items = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), table["answer"].to_pylist(), strict=True), key=lambda x: (x[0], x[1]))
-        return pa.Table.from_arrays([pa.array([pickle.dumps(Block(items, idf, rank))], pa.binary())], names=["block"])
+        items = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), table["answer"].to_pylist(), strict=True), key=lambda x: (x[0], x[1], x[2] or ""))
+        return pa.Table.from_arrays([pa.array([pickle.dumps(Block(items, space.value))], pa.binary())], names=["block"])
 
     return build
 
@@ -193,52 +254,89 @@ def windows(begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Search:
-    def __init__(self, idf: np.ndarray, blocks: list[Block], cosine: float, lcs: float, keys: float):
-        self.idf, self.blocks, self.cosine, self.lcs, self.keys = idf.astype(np.float32), blocks, cosine, lcs, keys
+    """The passages of some blocks in a row, and what finds them in texts."""
+
+    def __init__(self, space: Space, blocks: list[Block], cosine: float, lcs: float, keys: float):
+        self.space, self.latent, self.lcs, self.key_share = space, cosine, lcs, keys
+        self.idf = space.idf.astype(np.float32)
+        self.inside = space.place >= 0
+        #: Terms' places in the space by weight; the last, which -1 finds, is nowhere.
+        self.weighed = np.zeros((len(space.v) + 1, space.v.shape[1]), np.float32)
+        term = np.flatnonzero(self.inside)
+        self.weighed[space.place[term]] = space.v[space.place[term]] * self.idf[term, None]
         self.sizes = max((b.sizes for b in blocks), key=len)
-        self.scales = sorted(set(np.concatenate([b.scale for b in blocks]).tolist()))
-        self.inside = np.zeros(len(idf), bool)
-        for b in blocks:
-            self.inside[b.terms] = True
-        self.place = np.full((len(blocks), len(idf)), -1, np.int32)
-        for p, b in zip(self.place, blocks, strict=True):
-            p[b.terms] = np.arange(len(b.terms))
-        #: For each number of words running: sorted hashes, block and passage of each, and which leading bits occur.
+        self.items = [i for b in blocks for i in b.items]
+        self.words = [w for b in blocks for w in b.words]
+        self.keys = [k for b in blocks for k in b.keys]
+        self.q = np.concatenate([b.q for b in blocks])
+        self.scale = np.concatenate([b.scale for b in blocks])
+        begins = np.cumsum([0, *(len(b.items) for b in blocks)])
+        #: For each size of window: its passages, and their places in the space.
+        self.at = {int(s): np.flatnonzero(self.scale == s) for s in np.unique(self.scale)}
+        self.seen = {s: np.ascontiguousarray(self.q[own].T) for s, own in self.at.items()}
+        #: For each number of words running: sorted hashes, passage of each, and which leading bits occur.
         self.grams = {}
         for n in sorted({n for b in blocks for n in b.grams}):
-            own = [(g, np.full(len(g), i), k) for i, b in enumerate(blocks) for g, k in [b.grams.get(n, (np.zeros(0, U), np.zeros(0, np.int64)))]]
-            gram, block, k = (np.concatenate(x) for x in zip(*own, strict=True))
+            own = [(b.grams[n][0], b.grams[n][1] + lo) for b, lo in zip(blocks, begins, strict=False) if n in b.grams]
+            gram, k = (np.concatenate(x) for x in zip(*own, strict=True))
             order = np.argsort(gram, kind="stable")
             some = np.zeros(1 << 20, bool)
             some[(gram >> U(44)).astype(np.int64)] = True
-            self.grams[n] = gram[order], block[order], k[order], some
+            self.grams[n] = gram[order], k[order], some
 
-    def slice(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """(row, item, cosine, share in common) for the texts of a slice; the best of each row and item."""
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(row, item, cosine, latent cosine, share in common) for the texts of a slice; the best of each row and item."""
         s, e, begins = spans(data, offsets)
         if not len(s):
             return []
         words = hash_spans(data, s, e)
-        terms = _terms(words)
+        terms = terms_of(words)
         weight = self.idf[terms].astype(np.float64) ** 2
         inside = self.inside[terms]
         all_, own = np.r_[0, np.cumsum(weight)], np.r_[0, np.cumsum(weight * inside)]
-        best: dict[tuple[int, int], tuple[float, float]] = {}
-        for scale in self.scales:
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        sums, first = self._sums(terms, begins)
+        for scale in self.at:
             size = self.sizes[scale]
             start, end = windows(begins, size)
             norm = all_[end] - all_[start]
-            near = np.flatnonzero(own[end] - own[start] >= self.cosine**2 * np.maximum(norm, 1e-9))
-            some = max(1, 4096 * SIZES[-1] // max(size, SIZES[-1]))
-            for lo in range(0, len(near), some):
-                self._windows(scale, start[near[lo : lo + some]], end[near[lo : lo + some]], norm[near[lo : lo + some]], words, terms, inside, begins, best)
+            near = np.flatnonzero(own[end] - own[start] >= SHARE * np.maximum(norm, 1e-9))
+            for lo in range(0, len(near), 4096):
+                at = near[lo : lo + 4096]
+                row = np.searchsorted(begins, start[at], "right") - 1
+                # from the step at or after the window's start to the one at or after its end
+                a, b = (first[row] + -(-(x[at] - begins[row]) // STEP) for x in (start, end))
+                z = (sums[b] - sums[a]).astype(np.float32)
+                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                for w, i in zip(*np.nonzero(z @ self.seen[scale] >= self.latent), strict=True):
+                    self._verify(int(self.at[scale][i]), int(start[at[w]]), int(end[at[w]]), words, terms, begins, best)
         self._running(words, terms, begins, best)
-        return [(r, i, c, x) for (r, i), (c, x) in best.items()]
+        return [(r, i, *x) for (r, i), x in best.items()]
+
+    def _sums(self, terms: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(running sums of the words' places in the space over steps of words, the first step of each text).
+
+        A window's place is a difference of two of them, whatever its size. A text's last step may be a shorter one.
+        """
+        n = np.diff(begins)
+        steps = -(-n // STEP)
+        first = np.cumsum(steps) - steps
+        place = np.full((int(steps.sum()), STEP), -1, np.int64)
+        place.ravel()[np.arange(len(terms)) + np.repeat(first * STEP - begins[:-1], n)] = self.space.place[terms]
+        sums = np.zeros((len(place) + 1, self.weighed.shape[1]))
+        for lo in range(0, len(place), 2048):
+            part = place[lo : lo + 2048]
+            own = self.weighed[part[:, 0]]
+            for j in range(1, STEP):
+                own += self.weighed[part[:, j]]
+            np.cumsum(own, axis=0, out=sums[lo + 1 : lo + 1 + len(part)])
+            sums[lo + 1 : lo + 1 + len(part)] += sums[lo]
+        return sums, first
 
     def _running(self, words, terms, begins, best) -> None:
         """Verifies the windows that hold words running of a passage."""
         sizes = np.array(self.sizes)
-        for n, (gram, of_block, of_item, some) in self.grams.items():
+        for n, (gram, of_item, some) in self.grams.items():
             there = rolling(words, n, n)
             at = np.flatnonzero(some[(there >> U(44)).astype(np.int64)])
             lo, hi = np.searchsorted(gram, there[at]), np.searchsorted(gram, there[at], "right")
@@ -247,81 +345,59 @@ class Search:
             hit = np.repeat(np.arange(len(at)), count)
             if not len(hit):
                 continue
-            entry = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + lo[hit]
-            block, item = of_block[entry], of_item[entry]
-            size = np.zeros(len(hit), np.int64)
-            for i, b in enumerate(self.blocks):
-                size[block == i] = sizes[b.scale[item[block == i]]]
+            item = of_item[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + lo[hit]]
+            size = sizes[self.scale[item]]
             # the first of the windows that hold the place
             begin, end = begins[row[hit]], begins[row[hit] + 1]
             start = begin + np.minimum((at[hit] - begin) // (size // 2) * (size // 2), np.maximum(end - begin - size, 0))
             end = np.minimum(start + size, end)
-            for i, k, a, b in np.unique(np.stack([block, item, start, end], axis=1), axis=0).tolist():
-                self._verify(self.blocks[i], k, lambda i=i, k=k, a=a, b=b: self._cosine(i, k, terms[a:b]), a, b, words, begins, best)
+            for k, a, b in np.unique(np.stack([item, start, end], axis=1), axis=0).tolist():
+                self._verify(k, a, b, words, terms, begins, best)
 
-    def _cosine(self, i: int, k: int, terms: np.ndarray) -> float:
-        """A window's cosine with a passage, as _windows takes it."""
-        block = self.blocks[i]
+    def _latent(self, terms: np.ndarray, k: int) -> float:
+        """A window's cosine with a passage as seen through the latent space; what lies outside of it counts against."""
         term, count = np.unique(terms, return_counts=True)
         value = np.sqrt(count) * self.idf[term]
-        p = self.place[i][term]
-        return float(value[p >= 0] @ (block.space[p[p >= 0]] @ block.q[k]) / np.sqrt(value @ value))
-
-    def _windows(self, scale, start, end, norm, words, terms, inside, begins, best) -> None:
-        size = end - start
-        of = np.repeat(np.arange(len(start)), size)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
-        keep = inside[at]
-        code = np.sort(of[keep] << BITS | terms[at[keep]])
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(code)])
-        of, term = code[first] >> BITS, code[first] & ((1 << BITS) - 1)
-        value = np.sqrt(count).astype(np.float32) * self.idf[term]
-        for block, place in zip(self.blocks, self.place, strict=True):
-            items = np.flatnonzero(block.scale == scale)
-            if not len(items):
-                continue
-            p = place[term]
-            mine = p >= 0
-            if not mine.any():
-                continue
-            # the windows' weights as dense rows over the block's words, some windows at a time
-            for lo in range(0, len(start), 256):
-                a, b = np.searchsorted(of, [lo, lo + 256])
-                use = mine[a:b]
-                dense = np.zeros((min(256, len(start) - lo), len(block.terms)), np.float32)
-                dense[of[a:b][use] - lo, p[a:b][use]] = value[a:b][use]
-                # cosine with the passage as a whole, in the latent space
-                score = (dense @ self.folded(block, items, scale)) / np.sqrt(norm[lo : lo + 256, None])
-                for w, k in zip(*np.nonzero(score >= self.cosine), strict=True):
-                    self._verify(block, int(items[k]), lambda c=score[w, k]: float(c), int(start[lo + w]), int(end[lo + w]), words, begins, best)
-
-    def folded(self, block: Block, items: np.ndarray, scale: int) -> np.ndarray:
-        """space @ q' for a block's passages: passages as seen through the latent space."""
-        if not hasattr(block, "seen"):
-            block.seen = {}
-        if scale not in block.seen:
-            block.seen[scale] = np.ascontiguousarray(block.space @ block.q[items].T)
-        return block.seen[scale]
-
-    def _verify(self, block: Block, k: int, cosine, start: int, end: int, words, begins, best) -> None:
+        own = self.inside[term]
+        z = value[own] @ self.space.v[self.space.place[term[own]]]
+        return float(z @ self.q[k] / np.sqrt(value @ value))
+
+    def _plain(self, terms: np.ndarray, k: int) -> float:
+        """The cosine of a window's and a passage's TF-IDF vectors."""
+        (t, n), (u, m) = (np.unique(x, return_counts=True) for x in (terms, terms_of(self.words[k])))
+        x, y = np.sqrt(n) * self.idf[t], np.sqrt(m) * self.idf[u]
+        _, a, b = np.intersect1d(t, u, assume_unique=True, return_indices=True)
+        return float(x[a] @ y[b] / np.sqrt((x @ x) * (y @ y)))
+
+    def _verify(self, k: int, start: int, end: int, words, terms, begins, best) -> None:
         row = int(np.searchsorted(begins, start, "right")) - 1
-        old = best.get((row, block.items[k]), (0.0, 0.0))
-        if old[1] >= 1:
+        old = best.get((row, self.items[k]))
+        if old and old[2] >= 1:
             return
-        passage = block.words[k]
+        passage = self.words[k]
         lo, hi = max(int(begins[row]), start - len(passage)), min(int(begins[row + 1]), end + len(passage))
         there = words[lo:hi].tolist()
-        keys = block.keys[k]
-        if len(keys.intersection(there)) < self.keys * len(keys):
+        keys = self.keys[k]
+        found = len(keys.intersection(there))
+        if found < self.key_share * len(keys):
             return
         share = common(passage.tolist(), there) / len(passage)
-        if share >= self.lcs and share >= old[1]:
-            best[row, block.items[k]] = max(old, (cosine(), share), key=lambda x: (x[1], x[0]))
+        if old and share <= old[2]:
+            return
+        latent = None
+        if share < self.lcs:
+            # a paraphrase: near in meaning, with some words in order and all key words
+            if share < LCS_PARAPHRASE or found < len(keys):
+                return
+            latent = self._latent(terms[start:end], k)
+            if latent < PARAPHRASE:
+                return
+        latent = self._latent(terms[start:end], k) if latent is None else latent
+        best[row, self.items[k]] = self._plain(terms[start:end], k), latent, share
 
 
 def _searched(search, only_clean: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("latent_cosine", pa.float64()), ("lcs_share", pa.float64())])
 
     def run(batches):
         own = search.value
@@ -329,14 +405,14 @@ def _searched(search, only_clean: bool):
             data, offsets = fold(batch.column("text"))
             hits = []
             for lo, hi in parts(offsets):
-                hits += [(lo + r, i, c, x) for r, i, c, x in own.slice(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+                hits += [(lo + r, *x) for r, *x in own.slice(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             if only_clean:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[h[0] for h in hits]] = False
                 yield batch.filter(pa.array(clean))
             elif hits:
-                row, item, cosine, share = zip(*hits, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())], schema=schema)
+                row, item, *rest = zip(*hits, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], schema=schema)
 
     return run
 
@@ -353,28 +429,31 @@ def _dealt(items: DataFrame) -> DataFrame:
 
 
 def _searches(docs: DataFrame, benchmark: DataFrame, rank: int, cosine: float, lcs: float, keys: float):
-    """Broadcasts, one for each group of blocks."""
+    """Broadcasts, one for each group of blocks: up to 32,768 passages' words and places in the space, and the space."""
     spark = docs.sparkSession
-    n, df = document_frequencies(docs)
+    n, df, _ = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.05
     answer = F.col("answer").cast("string") if "answer" in {c.lower() for c in benchmark.columns} else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("item_id").isNotNull())
-    built = cut(_dealt(items).groupBy("block").applyInArrow(_svd(idf, rank), "block binary").withColumn("k", F.monotonically_increasing_id()))
+    dealt = _dealt(items)
+    space = spark.sparkContext.broadcast(latent_space(dealt, idf, rank))
+    built = cut(dealt.groupBy("block").applyInArrow(_built(space), "block binary").withColumn("k", F.monotonically_increasing_id()))
     names = sorted(r["k"] for r in built.select("k").collect())
     for lo in range(0, len(names), BLOCKS_AT_ONCE):
         got = built.where(F.col("k").isin(names[lo : lo + BLOCKS_AT_ONCE])).collect()
-        yield spark.sparkContext.broadcast(Search(idf, [pickle.loads(r["block"]) for r in got], cosine, lcs, keys))
+        yield spark.sparkContext.broadcast(Search(space.value, [pickle.loads(r["block"]) for r in got], cosine, lcs, keys))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, lcs: float = LCS, keys: float = KEYS) -> DataFrame:
-    """One row per row of docs and benchmark passage found in it: doc_id, item_id, cosine, lcs_share.
+    """One row per row of docs and benchmark passage found in it: doc_id, item_id, cosine (of the TF-IDF vectors),
+    latent_cosine, lcs_share.
 
     Only doc_id and text, item_id, text and (where there is one) answer are read. A null or empty text, or a passage
     without a letter or digit or of null item_id, matches nothing. Rows of null doc_id match with doc_id null. Repeated
     rows of docs match each; a repeated passage counts once. No documents or no passages give no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, item_id long, cosine double, lcs_share double"
+    kind = "doc_id long, item_id long, cosine double, latent_cosine double, lcs_share double"
     out = None
     for search in _searches(docs, benchmark, rank, cosine, lcs, keys):
         found = d.mapInArrow(_searched(search, False), kind)

@@ -1,11 +1,15 @@
 """Toxicity scores: votes of the nearest labelled examples by exact TF-IDF cosine, from a block-max inverted index.
 
-1. On a bounded sample of labelled rows, terms (words, and beginnings of words for forms not seen) are chosen that tell
-   the label. A term's evidence is counted over its distinct contexts, the words before and after it, so that copies of
-   one text count once.
-2. Their document frequencies are counted over all documents.
-3. The sample's rows that hold a chosen term are the examples, in blocks of similar ones. For each term the index holds
-   its largest weight in each block; a text visits blocks by the bound that gives, until no block can hold a nearer one.
+1. Every row of a bounded sample of labelled rows that has a word is an example, over all words of its whole text.
+2. A term's weight is its frequency's logarithm, times its inverse document frequency, times (from 1 up) how strongly it
+   goes with the label: the chi-square of its distinct contexts, the words before and after it, so that copies of one
+   text count once. Beginnings of words are terms where they go with the label, for forms that the sample hasn't seen.
+   Document frequencies are counted over all documents.
+3. Examples stand in blocks of similar ones. Rare terms have lists of examples; the commonest have a column over all
+   examples, and the index holds their largest weight in each block. A text adds up its lists, visits the blocks of the
+   best bounds, and then just those whose bound may still hold a nearer example.
+4. Votes become probabilities by a logistic curve, fitted on a fifth of the sample that a second index, of the rest
+   alone, has voted on.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U, hash_sums, mix, parts, spans
-from tessera.llm.decontaminate import fold
+from tessera.llm.common import U, hash_sums, mix, parts, spans, stored
+from tessera.llm.frequencies import document_frequencies, fold, terms_of
 from tessera.session import ship
 
 #: Labelled rows that are learned from at most; neighbours that vote; examples of a block; bytes of a word's beginnings.
 TRAIN_ROWS, NEIGHBOURS, BLOCK, HEADS = 8_192, 16, 32, (4, 5, 6)
-#: A chosen term's distinct contexts with the label at least, and standard errors above the share of all.
+#: What makes a term's contexts count as evidence: how many have the label at least, and standard errors above the share of all.
 CONTEXTS, DEVIATION = 6, 5.0
-PRIOR_WEIGHT = 1.0
+#: The prior's weight beside the votes; one row in so many is for calibration; rows of each label that it takes at least.
+PRIOR_WEIGHT, CALIBRATION, ENOUGH = 0.5, 5, 5
 _BUCKETS = 16
+#: Terms of the most examples, which have a column each instead of a list; texts scored together; blocks that each visits first,
+#: and how many more it visits by itself.
+_COMMON, _TEXTS, _VISIT, _MANY = 512, 64, 2, 8
 
 
 def _hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -38,25 +46,25 @@ def _hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def _text_terms(column):
-    """For each run of rows (lo, hi): (terms of its words, where each row's words begin)."""
+def _slices(column):
+    """(lo, hi, bytes, word starts, word ends, where each row's words begin) for runs of rows."""
     data, offsets = fold(column)
     for lo, hi in parts(offsets):
         piece = data[offsets[lo] : offsets[hi]]
-        s, e, begins = spans(piece, offsets[lo : hi + 1] - offsets[lo])
-        yield lo, hi, (_hash_heads(piece, s, e) if len(s) else np.zeros((0, 1 + len(HEADS)), U)), begins
+        yield (lo, hi, piece, *spans(piece, offsets[lo : hi + 1] - offsets[lo]))
 
 
 # ---------------------------------------------------------------- terms that tell the label
 
 
 def _contexts(batches):
-    """By bucket of the term: (term, context, label) for every word of the sample."""
+    """By bucket of the term: (term, context, label and twice whether the row is for calibration) for every word."""
     for batch in batches:
-        label = np.asarray(batch.column("label"))
-        for lo, hi, terms, begins in _text_terms(batch.column("text")):
-            if not len(terms):
+        mark = np.asarray(batch.column("label")).astype(np.uint8) | np.asarray(batch.column("apart")).astype(np.uint8) << 1
+        for lo, hi, piece, s, e, begins in _slices(batch.column("text")):
+            if not len(s):
                 continue
+            terms = _hash_heads(piece, s, e)
             word = terms[:, 0]
             first = np.zeros(len(word), bool)
             first[begins[:-1][begins[:-1] < len(word)]] = True
@@ -64,147 +72,264 @@ def _contexts(batches):
             before = np.where(first, U(0), np.r_[U(0), word[:-1]])
             after = np.where(last, U(0), np.r_[word[1:], U(0)])
             context = mix(before * U(0x9E3779B97F4A7C15) + after)
-            y = np.repeat(label[lo:hi].astype(np.uint8), np.diff(begins))
-            t, c, y = terms.ravel(), np.repeat(context, terms.shape[1]), np.repeat(y, terms.shape[1])
+            m = np.repeat(mark[lo:hi], np.diff(begins))
+            t, c, m = terms.ravel(), np.repeat(context, terms.shape[1]), np.repeat(m, terms.shape[1])
             for b in range(_BUCKETS):
                 own = t % U(_BUCKETS) == b
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([t[own].tobytes()], pa.binary()), pa.array([c[own].tobytes()], pa.binary()), pa.array([y[own].tobytes()], pa.binary())], names=["bucket", "terms", "contexts", "labels"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([t[own].tobytes()], pa.binary()), pa.array([c[own].tobytes()], pa.binary()), pa.array([m[own].tobytes()], pa.binary())], names=["bucket", "terms", "contexts", "marks"])
 
 
 def _chosen(table: pa.Table) -> pa.Table:
-    """(terms, sums): the terms of enough labelled contexts, with the number of contexts and how many are labelled."""
-    t, c = (np.concatenate([np.frombuffer(x, U) for x in table[k].to_pylist()]) for k in ("terms", "contexts"))
-    y = np.concatenate([np.frombuffer(x, np.uint8) for x in table["labels"].to_pylist()])
-    by = np.lexsort((c, t))
-    t, c, y = t[by], c[by], y[by].astype(np.float64)
-    at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-    share, t = np.add.reduceat(y, at) / np.diff(np.r_[at, len(t)]), t[at]
-    at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    n, a, t = np.diff(np.r_[at, len(t)]), np.add.reduceat(share, at), t[at]
-    keep = a >= CONTEXTS
-    return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t[keep], n[keep].astype(np.float64), a[keep])] + [pa.array([float(n.sum())]), pa.array([float(a.sum())])], names=["terms", "n", "a", "all_n", "all_a"])
+    """For all rows (0) and those not for calibration (1): the terms of enough labelled contexts, with the number of
+    contexts and how many are labelled, and both numbers for the whole bucket."""
+    all_t, all_c = (np.concatenate([np.frombuffer(x, U) for x in table[k].to_pylist()]) for k in ("terms", "contexts"))
+    marks = np.concatenate([np.frombuffer(x, np.uint8) for x in table["marks"].to_pylist()])
+    out = []
+    for part in (0, 1):
+        own = marks & 2 == 0 if part else np.ones(len(marks), bool)
+        t, c, y = all_t[own], all_c[own], (marks[own] & 1).astype(np.float64)
+        if not len(t):
+            out.append((part, b"", b"", b"", 0.0, 0.0))
+            continue
+        by = np.lexsort((c, t))
+        t, c, y = t[by], c[by], y[by]
+        at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
+        share, t = np.add.reduceat(y, at) / np.diff(np.r_[at, len(t)]), t[at]
+        at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        n, a, t = np.diff(np.r_[at, len(t)]), np.add.reduceat(share, at), t[at]
+        keep = a >= CONTEXTS
+        out.append((part, t[keep].tobytes(), n[keep].astype(np.float64).tobytes(), a[keep].tobytes(), float(n.sum()), float(a.sum())))
+    return pa.Table.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("part", pa.int64()), ("terms", pa.binary()), ("n", pa.binary()), ("a", pa.binary()), ("all_n", pa.float64()), ("all_a", pa.float64())]))
+
+
+def evidence_of(rows: list, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that tell the label, chi-square of each) from what _chosen gave."""
+    got = [r for r in rows if r["part"] == part]
+    terms, n, a = (np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in got]]) for k, t in (("terms", U), ("n", np.float64), ("a", np.float64)))
+    p = min(max(sum(r["all_a"] for r in got) / max(1.0, sum(r["all_n"] for r in got)), 1e-6), 1 - 1e-6)
+    z = (a - n * p) / np.sqrt(n * p * (1 - p))
+    # their contexts are labelled far more often than by chance, and at least half as often as not
+    keep = (z >= DEVIATION) & (a >= n / 2)
+    by = np.argsort(terms[keep])
+    return terms[keep][by], (z[keep] ** 2)[by]
 
 
-# ---------------------------------------------------------------- vectors over the chosen terms
+# ---------------------------------------------------------------- vectors
 
 
 class Vocabulary:
-    def __init__(self, terms: np.ndarray):
+    """Terms with places. heads: those of them that beginnings of words may be (None: all)."""
+
+    def __init__(self, terms: np.ndarray, heads: np.ndarray | None = None):
         self.terms = np.unique(terms)
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.terms >> U(44)).astype(np.int64)] = True
+        self.near = self._filter(self.terms)
+        self.near_head = self.near if heads is None else self._filter(heads)
+
+    @staticmethod
+    def _filter(terms: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << 22, bool)
+        out[(terms >> U(42)).astype(np.int64)] = True
+        return out
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, count) of the terms of texts, sorted by row and place."""
+        if not len(starts) or not len(self.terms):
+            return (np.zeros(0, np.int64),) * 3
+        terms = _hash_heads(data, starts, ends)
+        cut = (terms >> U(42)).astype(np.int64)
+        word, column = np.nonzero(np.column_stack([self.near[cut[:, :1]], self.near_head[cut[:, 1:]]]))
+        found = terms[word, column]
+        place = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
+        hit = self.terms[place] == found
+        row = np.searchsorted(begins, word[hit], "right") - 1
+        code, count = np.unique(row.astype(np.int64) << 32 | place[hit], return_counts=True)
+        return code >> 32, code & 0xFFFFFFFF, count
 
     def rows(self, column):
         """For each run of rows: (lo, hi, row, place in the vocabulary, count), sorted by row and place."""
-        for lo, hi, terms, begins in _text_terms(column):
-            flat = terms.ravel()
-            maybe = np.flatnonzero(self.near[(flat >> U(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.terms, flat[maybe]), max(0, len(self.terms) - 1))
-            hit = self.terms[place] == flat[maybe] if len(self.terms) else np.zeros(len(maybe), bool)
-            row = np.searchsorted(begins, maybe[hit] // terms.shape[1], "right") - 1
-            code, count = np.unique(row.astype(np.int64) << 32 | place[hit], return_counts=True)
-            yield lo, hi, code >> 32, code & 0xFFFFFFFF, count
-
-
-def _frequencies(vocabulary):
-    def count(batches):
-        own, rows = vocabulary.value, 0
-        df = np.zeros(len(own.terms), np.int64)
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, _, place, _ in own.rows(batch.column("text")):
-                df += np.bincount(place, minlength=len(df))
-        if rows:
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[rows, df[at]], pa.int64())], names=["place", "n"])
+        for lo, hi, piece, s, e, begins in _slices(column):
+            yield lo, hi, *self.of(piece, s, e, begins)
 
-    return count
 
+def _vectors(heads):
+    """An example's terms and how often each stands in it: all words (`words` of them), then beginnings that tell the label."""
 
-def _examples(vocabulary):
     def hold(batches):
-        own = vocabulary.value
+        own = heads.value.terms
         for batch in batches:
-            for lo, hi, row, place, count in own.rows(batch.column("text")):
-                at = np.searchsorted(row, np.arange(hi - lo + 1))
-                sub = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([sub.column("doc_id"), sub.column("label"), pa.array([place[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([count[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "label", "places", "counts"])
+            terms, counts, words = [], [], []
+            for lo, hi, piece, s, e, begins in _slices(batch.column("text")):
+                all_ = _hash_heads(piece, s, e) if len(s) else np.zeros((0, 1 + len(HEADS)), U)
+                tells = np.isin(all_[:, 1:], own)
+                for a, b in zip(begins[:-1], begins[1:], strict=True):
+                    (t, n), (h, m) = (np.unique(x, return_counts=True) for x in (all_[a:b, 0], all_[a:b, 1:][tells[a:b]]))
+                    terms.append(np.r_[t, h].tobytes())
+                    counts.append(np.r_[n, m].astype(np.uint32).tobytes())
+                    words.append(len(t))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "apart")), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int32())], names=["doc_id", "label", "apart", "terms", "counts", "words"])
 
     return hold
 
 
+def _ranges(start: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries of the lists of the given places, which place each belongs to)."""
+    size = start[place + 1] - start[place]
+    of = np.repeat(np.arange(len(place)), size)
+    return np.arange(len(of)) + (start[place] - np.cumsum(size) + size)[of], of
+
+
 class Index:
-    """Examples as unit TF-IDF vectors, in blocks, with each term's largest weight in each block."""
+    """Examples as unit vectors, in blocks, with each term's largest weight in each block.
+
+    weight: of each term of the vocabulary (0: no term); examples: (doc_id, label, places, counts); share: the prior.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, neighbours: int):
-        self.vocabulary, self.idf, self.share, self.neighbours = vocabulary, idf, share, neighbours
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, neighbours: int, curve: tuple[float, float] = (1.0, 0.0)):
+        self.vocabulary, self.weight, self.share, self.neighbours, self.curve = vocabulary, weight, share, neighbours, curve
+        often = np.bincount(np.concatenate([np.zeros(0, np.int64), *[e[2] for e in examples]]), minlength=len(weight))
         rows = []
         for doc, label, place, count in examples:
-            w = (1 + np.log(count)) * idf[place]
-            rows.append((doc, label, place, w / np.linalg.norm(w)))
-        # similar examples stand together: by their heaviest term, then the next
-        rows.sort(key=lambda r: (*(r[2][np.argsort(-r[3], kind="stable")][:3].tolist()), r[0]))
-        self.doc = np.array([r[0] for r in rows], np.int64)
-        self.label = np.array([r[1] for r in rows], np.int64)
+            w = (1 + np.log(count)) * weight[place]
+            norm = np.linalg.norm(w)
+            if norm > 0:
+                # similar ones stand together: by the heaviest term, the commonest one (their language's), and length
+                top = int(place[np.argmax(w)]) if w.max() > 0.5 * norm else -1
+                rows.append(((top, int(place[np.argmax(often[place])]), len(place), doc), doc, label, place, w / norm))
+        rows.sort(key=lambda r: r[0])
+        self.doc = np.array([r[1] for r in rows], np.int64)
+        self.label = np.array([r[2] for r in rows], np.int64)
         self.blocks = -(-len(rows) // BLOCK)
-        self.bound = np.zeros((len(idf), self.blocks), np.float32)
-        self.postings = []
-        for b in range(self.blocks):
-            own = rows[b * BLOCK : (b + 1) * BLOCK]
-            place, weight = np.concatenate([r[2] for r in own]), np.concatenate([r[3] for r in own])
-            np.maximum.at(self.bound[:, b], place, weight.astype(np.float32))
-            self.postings.append((place, weight, np.r_[0, np.cumsum([len(r[2]) for r in own])[:-1]]))
-        self.bound = np.nextafter(self.bound, np.float32(2)) * (self.bound > 0)
-        self.query = np.zeros(len(idf))
+        place = np.concatenate([np.zeros(0, np.int64), *[r[3] for r in rows]])
+        value = np.concatenate([np.zeros(0), *[r[4] for r in rows]])
+        example = np.repeat(np.arange(len(rows)), np.array([len(r[3]) for r in rows], np.int64))
+        # the commonest terms as columns, and the largest of each block
+        common = np.argsort(-often, kind="stable")[:_COMMON]
+        self.column = np.full(len(weight), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        mine = self.column[place] >= 0
+        self.dense[example[mine], self.column[place[mine]]] = value[mine]
+        self.bound = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, len(common)).max(axis=1, initial=0).T)
+        # the others as lists
+        place, value, example = place[~mine], value[~mine], example[~mine]
+        by = np.argsort(place, kind="stable")
+        self.posting, self.value = example[by].astype(np.int32), value[by].astype(np.float32)
+        self.start = np.searchsorted(place[by], np.arange(len(weight) + 1))
 
     def nearest(self, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the nearest, nearest first; ties in the order of the index. Only cosines over 0 count."""
-        w = (1 + np.log(count)) * self.idf[place]
-        w /= np.linalg.norm(w)
-        self.query[place] = w
-        bound = w @ self.bound[place]
-        found, near, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < worst:
-                break
-            at, weight, begins = self.postings[b]
-            cosine = np.add.reduceat(self.query[at] * weight, begins)
-            found = np.r_[found, b * BLOCK + np.arange(len(cosine))]
-            near = np.r_[near, cosine]
-            best = np.lexsort((found, -near))[: self.neighbours]
-            found, near = found[best], near[best]
-            worst = near[-1] - 1e-6 if len(near) == self.neighbours else 0.0
-        self.query[place] = 0
-        keep = near > 0
-        return found[keep], near[keep]
+        return self.nearest_of([(place, count)])[0]
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest for some texts together, which read the blocks that several of them visit once."""
+        n, k = len(self.doc), self.neighbours
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        size = self.blocks * BLOCK
+        query = np.zeros((len(texts), self.dense.shape[1]), np.float32)
+        place, count = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+        text = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+        w = (1 + np.log(count)) * self.weight[place]
+        w /= np.maximum(np.sqrt(np.bincount(text, weights=w * w, minlength=len(texts))), 1e-300)[text]
+        own = self.column[place]
+        query[text[own >= 0], own[own >= 0]] = w[own >= 0]
+        # what the lists give
+        rare = np.flatnonzero(own < 0)
+        entry, of = _ranges(self.start, place[rare])
+        near = np.bincount((text[rare] * size)[of] + self.posting[entry], weights=w[rare][of] * self.value[entry], minlength=len(texts) * size)
+        near = near.reshape(len(texts), size).astype(np.float32)
+        # what a block may hold at most; the rounding is less than the margin
+        hope = query @ self.bound + near.reshape(len(texts), self.blocks, BLOCK).max(axis=2) + 1e-5
+        first = np.argpartition(-hope, min(_VISIT, self.blocks) - 1, axis=1)[:, :_VISIT]
+        inner, least = np.arange(BLOCK), np.zeros(len(texts))
+
+        def cosines(i: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = (blocks[:, None] * BLOCK + inner).ravel()
+            return rows, near[i, rows] + self.dense[rows] @ query[i]
+
+        for i in range(len(texts)):
+            got = cosines(i, first[i])[1]
+            least[i] = np.partition(got, -k)[-k] if len(got) >= k else 0
+        least = np.maximum(least - 1e-5, 1e-7)
+        left = hope >= least[:, None]
+        many = left.sum(axis=1) > _MANY + _VISIT
+        out: list = [None] * len(texts)
+
+        def best(i: int, rows: np.ndarray, cosine: np.ndarray) -> None:
+            there = np.flatnonzero(cosine >= least[i])
+            there = there[np.lexsort((rows[there], -cosine[there]))[:k]]
+            out[i] = rows[there], np.minimum(cosine[there].astype(np.float64), 1.0)
+
+        for i in np.flatnonzero(~many):
+            best(i, *cosines(i, np.flatnonzero(left[i])))
+        if many.any():
+            # these read their blocks together
+            some = np.flatnonzero(left[many].any(axis=0))
+            rows = (some[:, None] * BLOCK + inner).ravel()
+            every = len(some) == self.blocks
+            both = query[many] @ (self.dense if every else self.dense[rows]).T
+            both += near[many] if every else near[np.ix_(many, rows)]
+            for i, cosine in zip(np.flatnonzero(many), both, strict=True):
+                best(i, rows, cosine)
+        return out
 
     def vote(self, found: np.ndarray, near: np.ndarray) -> float:
-        """The neighbours' votes weighted by squared nearness, beside a prior of the share among texts without a chosen term."""
+        """The neighbours' votes weighted by squared nearness, beside a prior of the share among texts without evidence."""
         weight = near * near
         return float((weight @ self.label[found] + PRIOR_WEIGHT * self.share) / (weight.sum() + PRIOR_WEIGHT))
 
-
-def _scored(index, extra: bool):
+    def score(self, vote: float) -> float:
+        """The probability that a vote stands for."""
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-(a * _logit(vote) + b))))
+
+
+def _logit(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve over the votes' log odds that tells the labels best; pulled towards leaving
+    votes as they are, by one row's weight. Too few rows of either label leave them so."""
+    if min(labels.sum(), (1 - labels).sum()) < ENOUGH:
+        return 1.0, 0.0
+    x = np.column_stack([_logit(votes), np.ones(len(votes))])
+    # smoothed targets, so that labels that votes tell apart cleanly don't make the slope infinite
+    target = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+    start = np.array([1.0, 0.0])
+    at = start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - target) + (at - start))
+        at = at - step * min(1.0, 1 / np.abs(step).max()) if np.abs(step).max() else at
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(max(at[0], 0.1)), float(at[1])
+
+
+def _scored(index, extra: str):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int64())]))
 
     def score(batches):
         own = index.value
         memo: dict[bytes, tuple] = {}
         for batch in batches:
-            out = np.full(batch.num_rows, own.share)
+            out = np.full(batch.num_rows, own.score(own.share))
             evidence: list = [[] for _ in range(batch.num_rows)]
-            if own.blocks:
-                for lo, hi, row, place, count in own.vocabulary.rows(batch.column("text")):
-                    at = np.searchsorted(row, np.arange(hi - lo + 1))
-                    for i in np.flatnonzero(np.diff(at)):
-                        p, c = place[at[i] : at[i + 1]], count[at[i] : at[i + 1]]
-                        key = p.tobytes() + c.tobytes()
-                        if key not in memo:
-                            if len(memo) > 20_000:
-                                memo.clear()
-                            found, near = own.nearest(p, c)
-                            memo[key] = own.vote(found, near), [{"doc_id": int(own.doc[f]), "cosine": float(n), "label": int(own.label[f])} for f, n in zip(found, near, strict=True)]
-                        out[lo + i], evidence[lo + i] = memo[key]
+            for lo, hi, row, place, count in own.vocabulary.rows(batch.column("text")) if own.blocks else ():
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                texts = {lo + i: (place[at[i] : at[i + 1]], count[at[i] : at[i + 1]]) for i in np.flatnonzero(np.diff(at)).tolist()}
+                keys = {i: p.tobytes() + c.tobytes() for i, (p, c) in texts.items()}
+                if len(memo) > 5_000:
+                    memo.clear()
+                new = list({key: texts[i] for i, key in keys.items() if key not in memo}.items())
+                for first in range(0, len(new), _TEXTS):
+                    some = new[first : first + _TEXTS]
+                    for (key, _), (found, near) in zip(some, own.nearest_of([x for _, x in some]), strict=True):
+                        memo[key] = own.score(own.vote(found, near)), [{"doc_id": int(own.doc[f]), "cosine": float(n), "label": int(own.label[f])} for f, n in zip(found, near, strict=True)] if not extra else []
+                for i, key in keys.items():
+                    out[i], evidence[i] = memo[key]
             if extra:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, extra])
             else:
@@ -213,38 +338,72 @@ def _scored(index, extra: bool):
     return score
 
 
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, label, apart, text): at most `rows` labelled documents, those of the smallest hash of the id, one row each.
+
+    A doc_id that is labelled twice has the larger label; of rows that share a doc_id the text of the smallest hash
+    counts. apart marks one row in five.
+    """
+    i = F.col("doc_id").cast("long")
+    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(i.alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label")).withColumn("_p", F.xxhash64("_id")).orderBy("_p", "_id").limit(rows)
+    d = docs.select(i.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = d.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return found.select("doc_id", "label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0).cast("int").alias("apart"), F.col("t.text").alias("text"))
+
+
 def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, neighbours: int = NEIGHBOURS) -> Index:
-    """The index: chosen terms and examples from a bounded sample of labels, document frequencies from all docs."""
+    """The index: examples from a bounded sample of labels, document frequencies from all docs."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("_p")).dropDuplicates(["_id"]).orderBy("_p", "_id").limit(train_rows)
-    sample = d.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
-    got = sample.mapInArrow(_contexts, "bucket int, terms binary, contexts binary, labels binary").groupBy("bucket").applyInArrow(_chosen, "terms binary, n binary, a binary, all_n double, all_a double").collect()
-    terms, n, a = (np.concatenate([np.frombuffer(r[k], t) for r in got] or [np.zeros(0, t)]) for k, t in (("terms", U), ("n", np.float64), ("a", np.float64)))
-    p = min(max(sum(r["all_a"] for r in got) / max(1.0, sum(r["all_n"] for r in got)), 1e-6), 1 - 1e-6)
-    keep = (a - n * p) / np.sqrt(n * p * (1 - p)) >= DEVIATION
-    # of those, terms that tell: their contexts are labelled at least half as often as not
-    vocabulary = Vocabulary(terms[keep & (a >= n / 2)])
-    held = spark.sparkContext.broadcast(vocabulary)
-    counts = {r["place"]: r["n"] for r in d.mapInArrow(_frequencies(held), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([counts.get(k, 0) for k in range(len(vocabulary.terms))], np.float64)
-    idf = np.log((1 + counts.get(-1, 0)) / (1 + df)) + 1
-    rows = sample.mapInArrow(_examples(held), "doc_id long, label int, places binary, counts binary").collect()
-    rows = [(r["doc_id"], r["label"], np.frombuffer(r["places"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows]
-    without = [r[1] for r in rows if not len(r[2])]
-    share = (sum(without) + 1) / (len(without) + 2) if rows else 0.5
-    return Index(vocabulary, idf, [r for r in rows if len(r[2])], share, neighbours)
+    sample = stored(sample_of(docs, labels, label, train_rows))
+    got = sample.mapInArrow(_contexts, "bucket int, terms binary, contexts binary, marks binary").groupBy("bucket").applyInArrow(_chosen, "part long, terms binary, n binary, a binary, all_n double, all_a double").collect()
+    tells = [evidence_of(got, part) for part in (0, 1)]
+    heads = spark.sparkContext.broadcast(Vocabulary(np.concatenate([t for t, _ in tells])))
+    n, by_word, by_head = document_frequencies(docs, heads)
+    # bounded by the sample
+    rows = sample.mapInArrow(_vectors(heads), "doc_id long, label int, apart int, terms binary, counts binary, words int").collect()
+    rows = sorted(((r["doc_id"], r["label"], r["apart"], np.frombuffer(r["terms"], U), np.frombuffer(r["counts"], np.uint32), r["words"]) for r in rows), key=lambda r: r[0])
+    terms = np.unique(np.concatenate([np.zeros(0, U), *[r[3] for r in rows]]))
+    is_word = np.zeros(len(terms), bool)
+    for r in rows:
+        is_word[np.searchsorted(terms, r[3][: r[5]])] = True
+    vocabulary = Vocabulary(terms, heads.value.terms)
+    rows = [(d, y, apart, np.searchsorted(terms, t), c) for d, y, apart, t, c, _ in rows]
+    df = by_word[terms_of(terms)].astype(np.float64)
+    special = np.isin(terms, heads.value.terms)
+    df[special] = by_head[np.searchsorted(heads.value.terms, terms[special])]
+    idf = np.log((1 + n) / (1 + df)) + 0.05
+
+    def index(part: int, curve=(1.0, 0.0)) -> Index:
+        evident, chi = tells[part]
+        own = np.isin(terms, evident)
+        # beginnings of words that tell the label in the other part alone are no terms here
+        boost = is_word.astype(np.float64)
+        boost[own] = np.maximum(1, chi[np.searchsorted(evident, terms[own])])
+        used = [r for r in rows if not part or not r[2]]
+        without = [r[1] for r in used if not own[r[3]].any()]
+        share = (sum(without) + 1) / (len(without) + 2) if used else 0.5
+        return Index(vocabulary, idf * boost, [(d, y, p, c) for d, y, _, p, c in used], share, neighbours, curve)
+
+    apart = [r for r in rows if r[2]]
+    curve = (1.0, 0.0)
+    if min(sum(r[1] for r in apart), sum(1 - r[1] for r in apart)) >= ENOUGH:
+        second = index(1)
+        texts = [(p, c) for _, _, _, p, c in apart]
+        votes = np.array([second.vote(*x) for lo in range(0, len(texts), _TEXTS) for x in second.nearest_of(texts[lo : lo + _TEXTS])])
+        curve = fitted_curve(votes, np.array([r[1] for r in apart]))
+    return index(0, curve)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row per row of docs: doc_id, score (the probability of label 1), evidence (the voting examples, nearest first).
 
     labels (doc_id, label) holds the rows that may be learned from, of which the `train_rows` of smallest hash of the
-    id are (all, if there are fewer). Only doc_id and text of docs are read. A null or empty text, or one without a
-    chosen term, has no neighbours and gets the share of label 1 among such examples. Null and repeated ids are rows
-    like others; for training a null id or label is passed over and a doc_id labelled twice counts once. Without
-    labels every score is 0.5. The number of chosen terms and examples is bounded by the sample.
+    id are (all, if there are fewer); the index has one row for each of them, however often the id repeats in docs. Only
+    doc_id and text of docs are read. A null or empty text, or one that shares no word with any example, has no
+    neighbours and gets the share of label 1 among examples without evidence. Null and repeated ids are rows like
+    others; for training a null id or label is passed over and a doc_id labelled twice has the larger label. Without
+    labels every score is 0.5.
     """
     index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, train_rows, neighbours))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

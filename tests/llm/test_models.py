@@ -112,6 +112,65 @@ def test_nearest_examples_equal_brute_force(spark):
         assert np.allclose([all_[int(index.doc[f])] @ dense(place, count) for f in found], near)
 
 
+def test_toxicity_neighbours_equal_brute_force(spark):
+    """From texts to evidence: cosines over all words of whole texts, weighed by df over all documents and by chi-square."""
+    rows, labels = toxic_corpus()
+    rows = rows[:260]
+    docs = spark.createDataFrame(rows, DOCS)
+    learn = spark.createDataFrame([x for x in labels[:260] if x[0] % 2], "doc_id long, toxic int")
+    index = toxicity.build(docs, learn, "toxic")
+    assert sorted(index.doc.tolist()) == [k for k in range(260) if k % 2]
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, learn).collect()}
+
+    def vector(text):
+        out = np.zeros(len(index.weight))
+        for _, _, _, place, count in index.vocabulary.rows(pa.array([text])):
+            out[place] = (1 + np.log(count)) * index.weight[place]
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    words = {w for _, t, *_ in rows for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()}
+    assert len(index.vocabulary.terms) >= len(words) - 3
+    all_ = {d: vector(t) for d, t, *_ in rows}
+    for d in range(0, 260, 7):
+        want = np.sort([all_[e] @ all_[d] for e in all_ if e % 2])[::-1][:16]
+        near = [e.cosine for e in got[d].evidence]
+        assert np.allclose(near, want[want > 1e-7], atol=1e-5), d
+        assert all(abs(all_[e.doc_id] @ all_[d] - e.cosine) < 1e-5 and e.label == labels[e.doc_id][1] for e in got[d].evidence)
+        votes = sum(e.cosine**2 * e.label for e in got[d].evidence) + toxicity.PRIOR_WEIGHT * index.share
+        assert abs(got[d].score - index.score(votes / (sum(c * c for c in near) + toxicity.PRIOR_WEIGHT))) < 1e-4
+
+
+def test_toxicity_votes_are_calibrated():
+    rng = np.random.default_rng(5)
+    truth = rng.uniform(0.02, 0.98, 4000)
+    labels = (rng.uniform(size=4000) < truth).astype(int)
+    # votes that are too timid by half
+    votes = 1 / (1 + np.exp(-(0.5 * np.log(truth / (1 - truth)) - 0.7)))
+    a, b = toxicity.fitted_curve(votes, labels)
+    p = 1 / (1 + np.exp(-(a * np.log(votes / (1 - votes)) + b)))
+    error = [abs(p[part].mean() - labels[part].mean()) for part in np.array_split(np.argsort(p), 10)]
+    assert max(error) < 0.05
+    assert toxicity.fitted_curve(votes[:3], labels[:3]) == (1.0, 0.0)
+    clean = toxicity.fitted_curve(np.r_[np.full(50, 0.1), np.full(20, 0.9)], np.r_[np.zeros(50, int), np.ones(20, int)])
+    assert 0.1 <= clean[0] < 10
+
+
+@pytest.mark.parametrize("text", ["three short words", "", "one"])
+def test_toxicity_of_tiny_samples(spark, text):
+    docs = spark.createDataFrame([(1, text, "", "", ""), (2, "three other words", "", "", ""), (3, None, "", "", "")], DOCS)
+    out = toxicity.toxicity_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect()
+    assert len(out) == 3 and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.not_toxic(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")).count() <= 3
+
+
+def test_samples_are_bounded_and_conflicts_defined(spark):
+    docs = spark.createDataFrame([(7, f"text number {k}", "", "", "") for k in range(400)] + [(8, "another", "", "", "")], DOCS)
+    labels = spark.createDataFrame([(7, 0), (7, 1), (8, 0), (8, 0), (9, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.label, r.text) for r in toxicity.sample_of(docs, labels, "toxic", 3).collect()}
+    again = {r.doc_id: (r.label, r.text) for r in toxicity.sample_of(docs.repartition(7), labels.repartition(3), "toxic", 3).collect()}
+    assert got == again and got[7][0] == 1 and got[8] == (0, "another") and len(got) == 2
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity_scores(spark.createDataFrame([(1, "a", "", "", "")], DOCS), none).collect()] == [0.5]
@@ -210,6 +269,85 @@ def test_decontamination_answers_and_nothing(spark):
     assert dc.benchmark_matches(docs.limit(0), bench).collect() == []
 
 
+def test_paraphrases_need_the_latent_space(spark):
+    """Synonyms stand for one another across the passages of a topic; a paraphrase has the answer, a third of the words in
+    order and else synonyms, which plain TF-IDF takes for other words."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("bcdfglmnrstaeiou", k=8))
+    topics = [[(word(), word()) for _ in range(20)] for _ in range(8)]
+    items, rows, planted = [], [], set()
+    for k in range(160):
+        topic = topics[k % 8]
+        pick = [rng.randrange(2) for _ in topic]
+        answer = word()
+        text = [pair[c] for pair, c in zip(topic, pick)] + [answer]
+        items.append((k, " ".join(text), answer))
+        if k < 40:
+            other = [pair[c if j % 20 in (0, 3, 7, 11, 14, 17) else 1 - c] for j, (pair, c) in enumerate(zip(topic, pick))] + [answer]
+            rows.append((k, " ".join(["the", "of"] + other + ["the", "and"]), "", "", ""))
+            planted.add((k, k))
+    rows += [(1000 + k, " ".join(rng.choice(["the", "of", "and"]) for _ in range(60)), "", "", "") for k in range(3000)]
+    rows += [(5000 + k, " ".join(word() for _ in range(40)), "", "", "") for k in range(100)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = dc.benchmark_matches(docs, bench, rank=8).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(found & planted) >= 0.9 * len(planted) and {d for d, _ in found} <= set(range(40))
+    own = [r for r in got if (r.doc_id, r.item_id) in planted]
+    assert all(r.lcs_share < dc.LCS for r in own) and all(r.latent_cosine > r.cosine for r in own)
+    # TF-IDF alone, at the same threshold, takes most of them for something else
+    assert sum(r.cosine < dc.PARAPHRASE for r in own) > 0.9 * len(own)
+
+
+def test_exact_copies_of_every_length(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choices("bcdfglmnrstaeiou", k=8))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (1, 2, 3, 4, 5, 12, 24, 25, 100, 800, 1000, 2000, 5000)]
+    text = lambda n: [word() for _ in range(n)]
+    rows = [(n, " ".join(text(500) + t.split() + text(500)), "", "", "") for n, t in items]
+    got = dc.benchmark_matches(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(n, n) for n, _ in items] and all(r.lcs_share == 1 for r in got)
+
+
+def test_retrieval_against_brute_force(spark):
+    """Of the pairs that LCS and key words accept, at least nine in ten are candidates, at a rank far below the passages' number."""
+    rng = random.Random(31)
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else "".join(rng.choices("abcdefgh", k=4))
+    items = [(k, " ".join(word() for _ in range(rng.randint(15, 40)))) for k in range(300)]
+    rows = []
+    for k in range(150):
+        w = items[k * 2][1].split()
+        # every second to fifth word another, so that few words run
+        step = 2 + k % 4
+        w = [word() if j % step == step - 1 and k % 3 else x for j, x in enumerate(w)]
+        rows.append((k, " ".join([word() for _ in range(rng.randint(0, 60))] + w + [word() for _ in range(rng.randint(0, 60))]), "", "", ""))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    (search,) = dc._searches(docs, bench, 48, dc.COSINE, dc.LCS, dc.KEYS)
+    own, want = search.value, set()
+    assert own.space.v.shape[1] == 48
+    for d, t, *_ in rows:
+        there = dc._words(t).tolist()
+        for k, passage in enumerate(own.words):
+            if len(own.keys[k].intersection(there)) >= dc.KEYS * len(own.keys[k]) and dc.common(passage.tolist(), there) >= dc.LCS * len(passage):
+                want.add((d, own.items[k]))
+    got = {(r.doc_id, r.item_id) for r in dc.benchmark_matches(docs, bench, rank=48).collect()}
+    assert len(want) > 80 and len(got & want) >= 0.9 * len(want)
+
+
+def test_products_add_up_to_the_decomposition(spark):
+    rng = random.Random(37)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(12)) for _ in range(90)]
+    idf = np.random.default_rng(1).uniform(0.5, 3, 1 << dc.BITS)
+    space = dc.latent_space(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), idf, 10)
+    row, term, value, _ = dc._vectors(texts, idf)
+    a = np.zeros((len(texts), space.v.shape[0]))
+    a[row, space.place[term]] = value
+    _, s, v = np.linalg.svd(a, full_matrices=False)
+    # the same leading space: projections keep as much as the best ones
+    kept = np.linalg.norm(a @ space.v) ** 2
+    assert space.v.shape[1] == 10 and np.allclose(space.v.T @ space.v, np.eye(10), atol=1e-5)
+    assert 0.98 * (s[:10] ** 2).sum() <= kept <= (s[:10] ** 2).sum() * (1 + 1e-6)
+
+
 def test_common_subsequence_and_windows():
     rng = random.Random(1)
     for _ in range(100):
