@@ -126,7 +126,54 @@ def is_structured(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(framed & parse_json(F.when(framed, s)).isNotNull(), F.lit(False)))
 
 
-CONVERSIONS = {"integer": to_integer, "float": to_number, "boolean": to_boolean, "timestamp": to_time, "date": lambda c: to_time(c).cast("date"), "duration": to_seconds, "currency": to_currency, "whole": to_whole}
+def _parsed(dayfirst: bool):
+    """An Arrow function for times of any form; nested, it travels by value."""
+
+    @F.pandas_udf(T.TimestampNTZType())
+    def parse(s):
+        import pandas as pd
+        from dateutil import parser
+
+        def one(text):
+            try:
+                return parser.parse(text, dayfirst=dayfirst).replace(tzinfo=None) if text and text.strip() else None
+            except (ValueError, OverflowError):
+                return None
+
+        return pd.to_datetime(s.map(one, na_action="ignore"), errors="coerce")
+
+    return parse
+
+
+def to_time_free(c: Column, dayfirst: bool = True, to_minutes: bool = True) -> Column:
+    """A time by the fixed formats, or else of any form that says one ("2 Jan 1995 3 pm"); cut to minutes.
+
+    Only texts with a digit that no fixed format fits leave the JVM.
+    """
+    fixed, s = to_time(c, dayfirst), c.cast("string")
+    rest = F.when(fixed.isNull() & s.rlike(r"\d"), s)
+    out = F.coalesce(fixed, _parsed(dayfirst)(rest))
+    return F.date_trunc("minute", out).cast("timestamp_ntz") if to_minutes else out
+
+
+def to_clock(c: Column) -> Column:
+    """A time of day as HH:mm:ss text, with or without seconds and am or pm; null where it is none."""
+    s = F.upper(F.trim(c.cast("string")))
+    found = None
+    for pattern, form in ((r"^\d{1,2}:\d{2}:\d{2}$", "H:mm:ss"), (r"^\d{1,2}:\d{2}$", "H:mm"), (r"^\d{1,2}:\d{2}:\d{2} ?[AP]M$", "h:mm:ss a"), (r"^\d{1,2}:\d{2} ?[AP]M$", "h:mm a")):
+        text = F.regexp_replace(s, r" ?([AP]M)$", " $1")
+        one = F.try_to_timestamp(F.when(s.rlike(pattern), text), F.lit(form))
+        found = one if found is None else F.coalesce(found, one)
+    return F.date_format(found, "HH:mm:ss")
+
+
+def to_bits(c: Column) -> Column:
+    """0 or 1 as a boolean; null for anything else."""
+    s = F.trim(c.cast("string"))
+    return F.when(s == "1", True).when(s == "0", False)
+
+
+CONVERSIONS = {"integer": to_integer, "float": to_number, "boolean": to_boolean, "timestamp": to_time, "date": lambda c: to_time(c).cast("date"), "duration": to_seconds, "currency": to_currency, "whole": to_whole, "time": to_clock, "binary": to_bits}
 
 
 # ---------------------------------------------------------------- labels
@@ -163,39 +210,64 @@ def infer(counts: dict[str, int], threshold: float = 0.9, enough: float = 0.7) -
     return (name, share) if share >= threshold or share > enough else ("string", share)
 
 
-def shape_label(c: Column) -> Column:
-    """boolean, datetime, float, integer or object by a value's characters: the commonest letters, digits and marks decide
-    where no pattern does. Plain whole numbers count as float, as they do for whoever reads them by this rule."""
-    raw = F.trim(c.cast("string"))
-    cleaned = F.regexp_replace(F.lower(raw), CURRENCY, "")
-    bare = F.regexp_replace(cleaned, r"e[+-]?[0-9]+", "")
+# The shares of a value's characters that tell its kind where no pattern does.
+MOSTLY_DIGITS, HALF_DIGITS, FEW_LETTERS, SOME_SEPARATORS = 0.8, 0.5, 0.2, 0.1
+
+
+def composition(c: Column) -> Column:
+    """What a value is made of: word (is it one for true or false), day (does it begin with an ISO day), number (is it one,
+    currency marks aside), and the shares of digits, letters, date separators and points."""
+    text = F.trim(c.cast("string"))
+    plain = F.regexp_replace(F.lower(text), CURRENCY, "")
+    mantissa = F.regexp_replace(plain, r"e[+-]?[0-9]+", "")
 
-    def share(text: Column, pattern: str) -> Column:
-        return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
+    def share(of: Column, kind: str) -> Column:
+        return F.regexp_count(of, F.lit(kind)) / F.greatest(F.length(of), F.lit(1))
 
-    digits, letters = share(bare, r"(?U)\d"), share(bare, r"\p{L}")
-    out = F.when(F.lower(raw).isin(*TRUE_WORDS, *FALSE_WORDS), "boolean")
-    out = out.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), "datetime").when(cleaned.rlike(r"^-?\d*\.?\d+(e[-+]?\d+)?$"), "float")
-    out = out.when((share(cleaned, r"\.") > 0) & (digits > 0.8), "float").when((digits > 0.8) & (letters < 0.2), "integer")
-    out = out.when((share(cleaned, "[/:-]") > 0.1) & (digits > 0.5) & (letters < 0.2), "datetime").otherwise("object")
-    return F.when(c.isNotNull(), out)
+    return F.struct(
+        F.lower(text).isin(*TRUE_WORDS, *FALSE_WORDS).alias("word"),
+        text.rlike(r"^\d{4}-\d{2}-\d{2}").alias("day"),
+        plain.rlike(r"^-?\d*\.?\d+(e[-+]?\d+)?$").alias("number"),
+        share(mantissa, r"(?U)\d").alias("digits"),
+        share(mantissa, r"\p{L}").alias("letters"),
+        share(plain, "[/:-]").alias("separators"),
+        share(plain, r"\.").alias("points"),
+    )
+
+
+def _kind_of(m: Column) -> Column:
+    digits, few = m["digits"] > MOSTLY_DIGITS, m["letters"] < FEW_LETTERS
+    # digits with a point are a number, and without one a count, unless letters stand among them
+    numeric = F.when(m["points"] > 0, "float").when(few, "integer")
+    dated = F.when((m["separators"] > SOME_SEPARATORS) & (m["digits"] > HALF_DIGITS) & few, "datetime")
+    by_pattern = F.when(m["word"], "boolean").when(m["day"], "datetime").when(m["number"], "float")
+    return F.coalesce(by_pattern, F.when(digits, numeric), dated, F.lit("object"))
+
+
+def shape_label(c: Column) -> Column:
+    """boolean, datetime, float, integer or object, by a value's pattern or else by what it is made of. Plain whole numbers
+    match the pattern of numbers and so are float; null has no label."""
+    # measured once for each value, as the lambda's argument
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(composition(c)), _kind_of), 0))
 
 
 def plan_by_shape(df: DataFrame, columns: list[str] | None = None) -> CastPlan:
-    """Conversions by the commonest shape of each text column's values, measured over all rows in one aggregation."""
+    """Each text column gets the conversion of its commonest shape, counted over all rows in one aggregation; the first
+    label by name among equally common ones."""
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    names = ("boolean", "datetime", "float", "integer", "object")
     if not columns:
         return CastPlan()
-    tagged = df.select(*[shape_label(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(columns)])
-    row = tagged.agg(*[F.count_if(F.col(f"c{k}") == n).alias(f"c{k}_{n}") for k in range(len(columns)) for n in names]).first()
-    chosen, kept = {}, {}
+    shapes = ("boolean", "datetime", "float", "integer", "object")
+    counts = [F.count_if(shape_label(F.col(f"`{c}`")) == s).alias(f"{k}_{s}") for k, c in enumerate(columns) for s in shapes]
+    row = df.agg(*counts).first()
+    plan = CastPlan()
     for k, c in enumerate(columns):
-        counts = {n: row[f"c{k}_{n}"] for n in names}
-        best = max(counts, key=counts.get)
-        if counts[best] and best != "object":
-            chosen[c], kept[c] = {"datetime": "timestamp"}.get(best, best), counts[best] / sum(counts.values())
-    return CastPlan(chosen, {}, kept)
+        found = {s: row[f"{k}_{s}"] for s in shapes if row[f"{k}_{s}"]}
+        common = max(found, key=found.get, default="object")
+        if common != "object":
+            plan.conversions[c] = "timestamp" if common == "datetime" else common
+            plan.measured[c] = found[common] / sum(found.values())
+    return plan
 
 
 # ---------------------------------------------------------------- casts of frames

@@ -11,15 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Strings that stand for null (as spelled), and characters that are replaced.
+# Strings that stand for null (as spelled), and what characters become: spaces, invisible characters,
+# quotes, dashes, and Cyrillic and Greek letters that look like Latin ones.
 NULL_WORDS = ("nan", "None", "NAT", "NAN", "null")
-SPACES = "\u00a0\u202f"
-INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u180e"
-DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
-SINGLE_QUOTES = "\u2018\u2019\u201b"
-DASHES = "\u2013\u2014\u2015"
-CYRILLIC, CYRILLIC_AS = "АаВЕеКкМНОоРрСсТХху", "AaBEeKkMHOoPpCcTXxy"
-GREEK, GREEK_AS = "ΑαΒβΕεΗΙιΚκΝνΟοΡρΤτΥυΧχ", "AaBbEeHIiKkNvOoPpTtYyXx"
+REPLACED = {
+    "\u00a0": ' ', "\u202f": ' ',
+    "\u200b": '', "\u200c": '', "\u200d": '', "\u2060": '', "\ufeff": '', "\u180e": '',
+    "“": '"', "”": '"', "„": '"', "‟": '"',
+    "‘": "'", "’": "'", "‛": "'",
+    "–": '-', "—": '-', "―": '-',
+    "…": '...',
+    "А": 'A', "а": 'a', "В": 'B', "Е": 'E', "е": 'e', "К": 'K', "к": 'k', "М": 'M', "Н": 'H',
+    "О": 'O', "о": 'o', "Р": 'P', "р": 'p', "С": 'C', "с": 'c', "Т": 'T', "Х": 'X', "х": 'x', "у": 'y',
+    "Α": 'A', "α": 'a', "Β": 'B', "β": 'b', "Ε": 'E', "ε": 'e', "Η": 'H', "Ι": 'I', "ι": 'i', "Κ": 'K', "κ": 'k', "Ν": 'N',
+    "ν": 'v', "Ο": 'O', "ο": 'o', "Ρ": 'P', "ρ": 'p', "Τ": 'T', "τ": 't', "Υ": 'Y', "υ": 'y', "Χ": 'X', "χ": 'x',
+}
 
 # All white space of Unicode, as a text's ends lose it.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,9 +34,7 @@ _CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 
 def default_map() -> dict[str, str]:
-    out = {c: " " for c in SPACES} | {c: "" for c in INVISIBLE} | {c: '"' for c in DOUBLE_QUOTES} | {c: "'" for c in SINGLE_QUOTES}
-    out |= {c: "-" for c in DASHES} | {"…": "..."}
-    return out | dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
+    return dict(REPLACED)
 
 
 @dataclass(frozen=True)

@@ -81,10 +81,11 @@ def _halved(df: DataFrame, v: Column, state: tuple[float, float, int, int], firs
     return c["x"], c["y"], below + c["low"] - left, 0
 
 
-def bounds(df: DataFrame, columns: list[str] | None = None, method: str = "iqr", factor: float = 1.5, z: float = 3.0, exact: bool = True) -> dict[str, tuple[float, float] | None]:
+def bounds(df: DataFrame, columns: list[str] | None = None, method: str = "iqr", factor: float = 1.5, z: float = 3.0, exact: bool = True, ddof: int = 1) -> dict[str, tuple[float, float] | None]:
     """(low, high) of each column; None where there are under ten values or no spread, so that nothing is an outlier.
 
-    exact: interpolated quantiles, in a few passes; else one pass of percentile_approx.
+    exact: interpolated quantiles, in a few passes; else one pass of percentile_approx. ddof: 1 takes the deviation of a
+    sample, 0 that of a population.
     """
     columns = columns or numeric(df)
     if not columns:
@@ -97,7 +98,7 @@ def bounds(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
         v = F.when(~F.isnan(v), v)
         exprs.append(F.count(v).alias(f"n{k}"))
         if method == "zscore":
-            exprs += [F.avg(v).alias(f"a{k}"), F.stddev_samp(v).alias(f"b{k}")]
+            exprs += [F.avg(v).alias(f"a{k}"), (F.stddev_samp(v) if ddof else F.stddev_pop(v)).alias(f"b{k}")]
         elif not exact:
             exprs += [F.percentile_approx(v, 0.25, 10_000).alias(f"a{k}"), F.percentile_approx(v, 0.75, 10_000).alias(f"b{k}")]
     if method == "iqr" and exact:

@@ -34,13 +34,16 @@ def matched_names(df: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def last_of_key(df: DataFrame, key: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """Of the rows of a key the last by order_by (without an order: any one); rows with a null in the key all stay."""
+    """Of the rows of a key the last by order_by; rows with a null in the key all stay. Without an order, and among equals,
+    the row that is largest column by column holds, so that the same rows always give the same table."""
     none = F.lit(False)
     for c in key:
         none = none | F.col(f"`{c}`").isNull()
+    rest = [c for c in df.columns if c not in key]
+    sortable = [f.name for f in df.schema if f.name in rest and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order_by = [*(order_by or []), *[c for c in sortable if c not in (order_by or [])]]
     if not order_by:
         return df.where(~none).dropDuplicates(key).unionByName(df.where(none))
-    rest = [c for c in df.columns if c not in key]
     # the largest (order, row) by key is an aggregate with a partial step, so that a hot key is no sorted group
     ranked = df.where(~none).groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order_by])).alias("_r"))
     return ranked.select(*[F.col(f"`{c}`") if c in key else F.col(f"_r.`{c}`").alias(c) for c in df.columns]).unionByName(df.where(none))
@@ -79,6 +82,41 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str], order_by: list[
     return t.join(s, cond, "full_outer").select(*out)
 
 
+def upsert_checked(target: DataFrame, source: DataFrame, spec: TableSpec, key: list[str], order_by: list[str] | None = None) -> Change:
+    """An upsert of the rows that violate nothing; the others are rejected with a reason, the first that holds:
+
+    not_null:column, key:columns (a null in the key), later:columns (a later row of the batch has the key). Columns that
+    the rows lack must be nullable only where a row is new.
+    """
+    source = matched_names(source, target)
+    key = [resolve(k, target.columns) for k in key]
+    reason: Column = F.lit(None).cast("string")
+    for c in reversed(key):
+        reason = F.when(F.col(f"`{c}`").isNull(), F.lit(f"key:{','.join(key)}")).otherwise(reason)
+    for c in reversed([c for c in spec.required() if c in source.columns and c not in key]):
+        reason = F.when(F.col(f"`{c}`").isNull(), F.lit(f"not_null:{c}")).otherwise(reason)
+    rows = source.withColumn(REASON, reason)
+    if lacking := [c for c in spec.required() if c not in source.columns]:
+        known = target.select(*[F.col(f"`{k}`") for k in key]).distinct().withColumn("_known", F.lit(True))
+        rows = rows.join(known, key, "left").withColumn(REASON, F.coalesce(REASON, F.when(F.col("_known").isNull(), F.lit(f"not_null:{lacking[0]}")))).drop("_known")
+    good = rows.where(F.col(REASON).isNull()).drop(REASON)
+    accepted = last_of_key(good, key, order_by)
+    # what a later row of its key stands for: all but one of each key's rows
+    later = good.exceptAll(accepted).withColumn(REASON, F.lit(f"later:{','.join(key)}"))
+    return Change(upsert(target, accepted, key), rows.where(F.col(REASON).isNotNull()).unionByName(later), accepted)
+
+
+def first_errors(rejected: DataFrame, order_by: list[str], most: int = 10) -> DataFrame:
+    """The first rejected rows by an order, with their reasons: a bounded sort."""
+    return rejected.orderBy(*[F.col(f"`{c}`") for c in order_by], REASON).limit(most)
+
+
+def chunk_counts(change: Change, chunk: Column) -> DataFrame:
+    """(chunk, total, success, failed) of a checked change, by what chunk says of a row."""
+    sides = change.accepted.select(chunk.alias("chunk"), F.lit(1).alias("ok")).union(change.rejected.select(chunk.alias("chunk"), F.lit(0).alias("ok")))
+    return sides.groupBy("chunk").agg(F.count(F.lit(1)).alias("total"), F.sum("ok").alias("success"), F.sum(1 - F.col("ok")).alias("failed"))
+
+
 def upsert_counts(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """(inserted, updated): how many rows an upsert adds and overwrites."""
     s = last_of_key(source, key).select(*[F.col(f"`{k}`").alias(f"_s{n}") for n, k in enumerate(key)])
@@ -113,7 +151,9 @@ def insert(target: DataFrame, source: DataFrame, spec: TableSpec, order_by: list
             cond = one if cond is None else cond & one
             full = full & F.col(f"`{k}`").isNotNull()
         order = [F.col(f"`{c}`") for c in order_by or source.columns]
-        first = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in key]).orderBy(F.col(REASON).isNotNull(), *order))
+        # rows with a null in the key repeat nothing; a hash spreads them, so that they don't sort in one task
+        apart = F.when(~full, F.xxhash64(*[F.col(f"`{c}`") for c in source.columns]))
+        first = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in key], apart).orderBy(F.col(REASON).isNotNull(), *order))
         rows = rows.join(there, cond, "left").drop(*[f"_k{n}_{m}" for m in range(len(key))])
         rows = rows.withColumn(REASON, F.coalesce(REASON, F.when(F.col(f"_there{n}"), F.lit(f"key:{name}")))).drop(f"_there{n}")
         rows = rows.withColumn(REASON, F.coalesce(REASON, F.when(full & (first > 1), F.lit(f"batch:{name}"))))
@@ -122,6 +162,11 @@ def insert(target: DataFrame, source: DataFrame, spec: TableSpec, order_by: list
     return Change(target.unionByName(accepted, allowMissingColumns=True), rows.where(F.col(REASON).isNotNull()), accepted)
 
 
+def with_all(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """All columns of the table, null where df lacks one."""
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in spec.schema])
+
+
 def insert_if_absent(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """Rows of keys that the table lacks are added, one of each."""
     source = matched_names(source, target)

@@ -156,6 +156,23 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])).limit(n)
 
 
+def stratified_sample(df: DataFrame, by: str, n: int, strata: int = 5, seed: int = 42) -> DataFrame:
+    """n rows, as many from each of `strata` ranges of a numeric column that hold equal numbers of rows; a seeded hash of
+    the row decides within a range. Bounded sorts, one for each range; rows with a null in `by` belong to the first."""
+    from tessera.functions.outliers import quantiles
+
+    cuts = [q for q in quantiles(df, [by], [k / strata for k in range(1, strata)])[by] if q is not None]
+    at = F.lit(0)
+    for q in cuts:
+        at = at + F.coalesce((F.col(f"`{by}`") > q).cast("int"), F.lit(0))
+    order, out = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), None
+    for k in range(strata):
+        most = n // strata + (k < n % strata)
+        one = df.withColumn("stratum", at).where(F.col("stratum") == k).orderBy(order).limit(most)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def numbered_rows(df: DataFrame, order_by: list[str], name: str = "_seq", partition_by: list[str] | None = None) -> DataFrame:
     """Rows numbered from 1 by an order (within groups, if there are any)."""
     w = Window.partitionBy(*(partition_by or [])).orderBy(*[F.col(f"`{c}`") for c in order_by])

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ class LoadResult:
     key: list[str] = field(default_factory=list)
     ok: bool = True
     status: str = "COMPLETED"
+    #: The change itself, where an operation keeps it: rows taken and rows rejected, for counts by chunk.
+    change: dml.Change | None = None
 
 
 class ETL:
@@ -69,18 +71,21 @@ class ETL:
         return out
 
     def append(self, source: Any, table: str, rename: bool = True, add_missing: bool = False, tolerance: int | None = None) -> LoadResult:
-        """Rows that violate nothing are added; with more than `tolerance` others, nothing is."""
+        """Rows that violate nothing are added, in files beside those there are; with more than `tolerance` others, nothing is."""
         out = self._aligned(source, table, rename, add_missing)
-        target = self.catalog.table(table)
-        before = target.count()
-        change = dml.insert(target, out.df, out.spec)
-        rejected = change.rejected
-        bad = rejected.count()
-        if tolerance is not None and bad > tolerance:
-            return LoadResult(table, "append", 0, rejected, out.report, ok=False, status="DATA_LOAD_FAILED")
-        self.catalog.save(change.table, out.spec)
-        total = self.catalog.row_count(table) - before
-        return LoadResult(table, "append", total, rejected if bad else None, out.report, ok=total + bad == out.report.rows)
+        change = dml.insert(self.catalog.table(table), out.df, out.spec)
+        # one pass decides; what it took is what is written
+        taken = change.accepted.persist()
+        try:
+            total = taken.count()
+            bad = out.report.rows - total
+            if tolerance is not None and bad > tolerance:
+                return LoadResult(table, "append", 0, change.rejected, out.report, ok=False, status="DATA_LOAD_FAILED")
+            if total:
+                self.catalog.append(dml.with_all(taken, out.spec), table)
+        finally:
+            taken.unpersist()
+        return LoadResult(table, "append", total, change.rejected if bad else None, out.report, change=change)
 
     def upsert(self, source: Any, table: str, key: str | list[str] | None = None, order_by: list[str] | None = None, rename: bool = True, add_missing: bool = False) -> LoadResult:
         """By the key given, or the table's primary key."""
@@ -89,9 +94,34 @@ class ETL:
         if not names:
             raise ValueError(f"table {table} has no primary key, and no key is given")
         own = out.spec.check_upsert_key(names)
-        self.catalog.save(dml.upsert(self.catalog.table(table), out.df, own, order_by), out.spec)
+        self.catalog.upsert(table, out.df, own, order_by)
         return LoadResult(table, "upsert", out.report.rows, report=out.report, key=own)
 
+    def execute(self, operation: str, source: Any, table: str, key: str | list[str] | None = None, chunk: Column | None = None, rename: bool = True, add_missing: bool = False) -> tuple[LoadResult, DataFrame]:
+        """A checked insert or upsert: rows that violate nothing are taken, the others come back with reasons.
+
+        Also returned: (chunk, total, success, failed), a chunk being what `chunk` says of an aligned row (default: all).
+        """
+        if operation not in ("insert", "upsert"):
+            raise ValueError(f"operation {operation!r} is neither insert nor upsert")
+        out = self._aligned(source, table, rename, add_missing)
+        target, spec = self.catalog.table(table), out.spec
+        if operation == "insert":
+            change, own = dml.insert(target, out.df, spec), []
+        else:
+            own = spec.check_upsert_key([key] if isinstance(key, str) else list(key or spec.primary_key))
+            change = dml.upsert_checked(target, out.df, spec, own)
+        counts = dml.chunk_counts(change, F.lit(0) if chunk is None else chunk)
+        # counted before the table changes, as both look at the rows that were there
+        rows = counts.collect()
+        counts = self.spark.createDataFrame(rows, counts.schema)
+        good, bad = sum(r["success"] for r in rows), sum(r["failed"] for r in rows)
+        if good and operation == "insert":
+            self.catalog.append(dml.with_all(change.accepted, spec), table)
+        elif good:
+            self.catalog.upsert(table, change.accepted, own)
+        return LoadResult(table, operation, good, change.rejected if bad else None, out.report, own, ok=not bad, change=change), counts
+
     def update(self, values: Mapping[str, Any], table: str, where: Any, expression: str | None = None) -> LoadResult:
         """Columns set where the predicate holds; total is the number of rows that it selects."""
         target = self.catalog.table(table)
@@ -108,13 +138,30 @@ class ETL:
         return self.append(source, table)
 
     def run_many(self, source: Any, tables: Mapping[str, Catalog], pk=None) -> dict[str, LoadResult]:
-        """The same source into tables of several catalogs, each with its own status."""
+        """The same source into tables of several catalogs, each with its own status, the step that failed: ERROR (the
+        source), DDL_GEN_FAILED (its statements, where there is a dialect, or its key), DDL_FAILED (the table),
+        DATA_LOAD_FAILED (the rows), UNEXPECTED_ERROR, or COMPLETED. One target's failure leaves the others alone."""
+        try:
+            df = self.prepare(source).persist()
+        except Exception as e:
+            return {name: LoadResult(name, "create_load", ok=False, status=f"ERROR: {e}") for name in tables}
         out = {}
         for name, catalog in tables.items():
+            short, step = name.rsplit(".", 1)[-1], "DDL_GEN_FAILED"
             try:
-                out[name] = ETL(self.spark, catalog, self.config, self.cast).create_load(source, name.rsplit(".", 1)[-1], pk)
-            except ValueError as e:
-                out[name] = LoadResult(name, "create_load", ok=False, status=f"DATA_LOAD_FAILED: {e}")
+                if self.dialect:
+                    ddl.generate(df, short, self.dialect)
+                key = decide_key(df, pk)
+                spec = TableSpec(short, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]), tuple(key), not_null=tuple(key))
+                step = "DDL_FAILED"
+                catalog.create(spec)
+                step = "DATA_LOAD_FAILED"
+                catalog.append(df, short)
+                step = "UNEXPECTED_ERROR"
+                out[name] = LoadResult(name, "create_load", catalog.row_count(short), key=key)
+            except Exception as e:
+                out[name] = LoadResult(name, "create_load", ok=False, status=f"{step}: {e}")
+        df.unpersist()
         return out
 
     def statements(self, df: DataFrame, table: str, dialect: str, **how) -> ddl.Ddl:
@@ -140,23 +187,38 @@ def propose(spark: SparkSession, path: str, rows: int = 5000) -> dict:
 
 
 def generate_configs(spark: SparkSession, root: str, force: bool = False) -> dict[str, dict]:
-    """Settings for every CSV file below a local folder, kept as JSON in each folder's loads.json; those there stay, but with force."""
+    """Settings for every CSV file below a folder of any file system, kept as JSON in each folder's loads.json; those there
+    stay, but with force."""
+    store = Catalog(spark, root)
+    at = store._path()
+    fs, found = store._fs(at), {}
+    files = fs.listFiles(at, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().lower().endswith(".csv"):
+            found.setdefault(path.getParent().toString(), []).append(path)
     out = {}
-    for folder, _, names in sorted(os.walk(root)):
-        files = sorted(n for n in names if n.lower().endswith(".csv"))
-        if not files:
-            continue
-        place = os.path.join(folder, "loads.json")
+    for folder in sorted(found):
+        own = Catalog(spark, folder)
+        place = own._path("loads.json")
+        # people edit these files: where the file system is this machine's, they are written without Hadoop's checksums
+        local = place.toUri().getPath() if own._fs(place).getScheme() == "file" else None
         known = {}
-        if os.path.exists(place) and not force:
-            with open(place) as f:
-                known = json.load(f)
-        for n in files:
-            if n[:-4] not in known:
-                known[n[:-4]] = propose(spark, os.path.join(folder, n))
-        with open(place, "w") as f:
-            json.dump(known, f, indent=1)
-        out |= {os.path.join(folder, k): v for k, v in known.items()}
+        if fs.exists(place) and not force:
+            if local:
+                with open(local) as f:
+                    known = json.load(f)
+            else:
+                known = json.loads(own._read("loads.json"))
+        for path in sorted(found[folder], key=lambda p: p.getName()):
+            if path.getName()[:-4] not in known:
+                known[path.getName()[:-4]] = propose(spark, path.toString())
+        if local:
+            with open(local, "w") as f:
+                json.dump(known, f, indent=1)
+        else:
+            own._write(json.dumps(known, indent=1), "loads.json")
+        out |= {f"{folder.removeprefix('file:')}/{k}": v for k, v in known.items()}
     return out
 
 

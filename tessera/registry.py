@@ -312,10 +312,14 @@ def schema_diff(spark, t):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors reach."""
+    """A new folder that all executors reach; one of this machine's only where Spark runs in this process alone."""
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
@@ -568,3 +572,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = align.Aligner(spec).align(changes)
     merged = dml.upsert(orders.where("o_orderkey % 3 <> 0"), aligned.df, ["o_orderkey"])
     return merged.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# the queries of the other module register themselves here
+from tessera import registry_load  # noqa: E402, F401

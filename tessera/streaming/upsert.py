@@ -1,4 +1,4 @@
-"""Keyed upserts from streams of files: each micro-batch makes a new version of a table."""
+"""Keyed upserts from streams of files: each micro-batch makes a new version of a table, of the buckets that it touches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators import dml
 from tessera.sources.catalog import Catalog
 
 
@@ -28,14 +27,19 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str
 def upsert_stream(stream: DataFrame, catalog: Catalog, table: str, key: list[str], checkpoint: str, order_by: list[str] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True) -> StreamingQuery:
     """Start a query that upserts each micro-batch into a table of the catalog.
 
-    A batch may come again after a failure; an upsert by key with an order then gives the same table.
+    A batch may come again after a failure; an upsert by key with an order then gives the same table. Of a table that the
+    catalog deals by this key only the buckets that a batch touches are read and written.
     """
     spec = catalog.spec(table)
     key = spec.check_upsert_key(key)
 
     def write(batch: DataFrame, number: int) -> None:
         rows = prepare(batch) if prepare else batch
-        catalog.save(dml.upsert(catalog.table(table), rows, key, order_by), spec)
+        rows = rows.persist()
+        try:
+            catalog.upsert(table, rows, key, order_by)
+        finally:
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
