@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pack import CLASSES, ROUNDS, SHARES, fitted, pack, patterns_of, plan_of, rounded, token_pieces
 from tessera.llm.queries import op5_best_fit_packing, op8_sharding
-from tessera.llm.shard import shuffle_shards
+from tessera.llm.shard import shuffle_shards, write_shards
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, shard int, _bucket string, length int"
@@ -168,3 +168,31 @@ def test_op8_digest(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in op8_sharding(spark, str(tmp_path)).collect()}
     assert got == {d: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for d, t in rows}
+
+
+def test_rows_that_repeat_in_all_columns_go_to_many_buckets(spark):
+    same = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    docs = same.union(spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")))
+    out = shuffle_shards(docs, 24, bucket_bytes=100_000)
+    got = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.count("doc_id").alias("others")).collect()
+    assert sum(r.n for r in got) == 205_000 and len(got) == 24
+    assert all(r.n == r.slots == r.last + 1 for r in got) and max(r.n for r in got) - min(r.n for r in got) <= 1
+    # both kinds are mixed
+    assert min(r.others for r in got) > 0
+    assert out.where("doc_id is not null").select("doc_id").distinct().count() == 5_000
+
+
+def test_clashing_names_and_written_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "t", 1, 2, "x") for k in range(50)], "doc_id long, text string, shard int, in_shard int, _Key string")
+    out = shuffle_shards(docs, 4)
+    assert out.columns == ["doc_id", "text", "in_in_shard", "in_shard", "in__Key", "shard", "slot"]
+    assert {(r.in_in_shard, r.in_shard) for r in out.collect()} == {(1, 2)}
+    back = write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), 4)
+    assert sorted(r.doc_id for r in back.collect()) == list(range(50)) and back.select("shard").distinct().count() == 4
+
+
+def test_the_records_are_exchanged_once(spark):
+    docs = spark.createDataFrame([(k, "t" * 50) for k in range(500)], "doc_id long, text string")
+    plan = shuffle_shards(docs, 24, bucket_bytes=4000)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(_bucket" in line]
+    assert len(wide) <= 3 and "RoundRobin" not in plan
