@@ -41,16 +41,24 @@ class Forest:
             self.root = flat
 
 
+def _unfinished(e: DataFrame) -> bool:
+    """Has a node two links upwards, or one upwards and one downwards?"""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    n = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return n.where("up > 1 or (up > 0 and down > 0)").limit(1).count() > 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node that has a link to another, the smallest node that it reaches.
 
     Alternates large-star and small-star steps (each a minimum by key, which is pre-aggregated, and a join that
     adaptive execution splits where a key is hot), so that every component becomes a star around its smallest node. The
-    steps take about the logarithm of the longest path. Links to itself or with a null end are passed over.
+    steps take about the logarithm of the longest path; they end when every node has one link upwards or is a centre,
+    which one count by node tells. Links to itself or with a null end are passed over.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v and u is not null and v is not null").distinct()
     e = cut(e)
-    while True:
+    while _unfinished(e):
         # large star: link all larger neighbours of a node to its smallest neighbour (itself included)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -59,10 +67,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = cut(large.where("u != v").distinct())
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        new = cut(small)
-        # a star forest does not change any more
-        if not new.join(e, ["u", "v"], "left_anti").limit(1).count() and not e.join(new, ["u", "v"], "left_anti").limit(1).count():
-            break
-        e = new
+        e = cut(small)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

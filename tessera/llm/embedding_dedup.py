@@ -161,11 +161,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     e = e.withColumn("fit", fit)
-    distinct = stored(e.where("fit").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")))
-    # one vec_id may name several vectors: its node is then not a key, and a hash of label and vector is
-    distinct = distinct.withColumnRenamed("node", "least").withColumn("node", F.xxhash64("label", "v"))
+    # a node is a number that a vector gets as it is written: one vec_id may name several vectors, and hashes may collide
+    distinct = stored(e.where("fit").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}))
     total = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("node"), "node").limit(sample).select("dim", "v").collect()
+    drawn = distinct.orderBy(F.xxhash64("label", "v"), "least").limit(sample).select("dim", "v").collect()
     margin = SPILL * float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     forests = {}
     for dim in {r["dim"] for r in drawn}:

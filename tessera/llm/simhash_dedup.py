@@ -13,8 +13,8 @@ from tessera.llm.components import Forest, components
 from tessera.session import ship
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints of a tile at least, and tiles at most before tiles grow.
-TILE, TILES = 16_384, 48
+#: Fingerprints of a tile at least and at most (16 MB), and tiles at most before tiles grow.
+TILE, MOST, TILES = 4_096, 1 << 21, 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -112,27 +112,30 @@ def tiles_of(counts: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
 def near_fingerprints(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, tiles: int = TILES) -> DataFrame:
     """(node, component) of the distinct fingerprints fps(fp) that have another within `radius` bits; nodes are fingerprints.
 
-    A tile is one row that holds its fingerprints; there are about `tiles` of them at most, so that each is sent to a
-    bounded number of tasks. Every pair of tiles whose population counts may lie within the radius is compared in full,
-    in a task of its own; within it, rows are sorted by population count and stretches out of reach are skipped. A task
-    gives a spanning forest of its links, not the links. Only the histogram of 65 population counts comes to the driver.
+    A tile is one row that holds its fingerprints, 16 MB at most; up to that size there are about `tiles` of them, so that
+    each is sent to few tasks, and beyond it their number grows. Every pair of tiles whose population counts may lie
+    within the radius is compared in full, in a task of its own; within it, rows are sorted by population count and
+    stretches out of reach are skipped. A task gives a spanning forest of its links, not the links. Only the histogram of
+    65 population counts comes to the driver.
     """
     spark = fps.sparkSession
     counts = {r["p"]: r["n"] for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    tile = max(tile, pieces(sum(counts.values()), tiles))
+    tile = max(tile, min(MOST, pieces(sum(counts.values()), tiles)))
     places = tiles_of(counts, tile)
     reach: dict[int, list[int]] = {}
     for p, (first, n) in places.items():
         for k in range(first, first + n):
             reach[k] = [min(p, reach.get(k, [p, p])[0]), max(p, reach.get(k, [p, p])[1])]
-    pairs = [(i, j) for i in reach for j in reach if i <= j and reach[j][0] - reach[i][1] <= radius]
-    meets = [(k, i, j) for i, j in pairs for k in {i, j}]
-    # bounded: 65 population counts, and the pairs of at most about `tiles` + 65 tiles
+    # tiles stand in the order of their population counts, so that those in reach of one follow it in a row
+    lowest = np.array([reach[k][0] for k in sorted(reach)])
+    ends = [(k, int(np.searchsorted(lowest, reach[k][1] + radius, "right")) - 1) for k in sorted(reach)]
+    # 65 population counts, and one row for each tile
     place = spark.createDataFrame([(p, f, n) for p, (f, n) in places.items()] or [(0, 0, 1)], "p int, first int, parts int")
-    meet = spark.createDataFrame(meets or [(0, 0, 0)], "tile int, i int, j int")
+    pairs = spark.createDataFrame(ends or [(0, 0)], "i int, last int").select("i", F.explode(F.sequence("i", "last")).alias("j"))
+    meet = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"), "i", "j")
     dealt = fps.withColumn("p", F.bit_count("fp")).join(F.broadcast(place), "p").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
     rows = dealt.groupBy("tile").applyInArrow(_tile, "tile int, fps binary")
-    links = rows.join(F.broadcast(meet), "tile").groupBy("i", "j").applyInArrow(_tile_pair(radius), "a long, b long")
+    links = rows.join(meet, "tile").groupBy("i", "j").applyInArrow(_tile_pair(radius), "a long, b long")
     return components(links)
 
 
@@ -160,4 +163,4 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that are kept of their components."""
     stay = simhash_dedup(docs, radius).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["_hash"]), "left_semi")
