@@ -26,11 +26,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and Spark runs
+    in this process alone. On a cluster it must be set."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        at = sc.getCheckpointDir()
+    if not at:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -57,6 +62,21 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, label, text): at most `rows` labelled documents, those of the smallest hash of the id, one row each.
+
+    A null id or label is passed over. A doc_id that is labelled twice has the larger label; of rows that share a doc_id
+    the text of the smallest hash counts, and a null text is empty.
+    """
+    i = F.col("doc_id").cast("long")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(i.alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    drawn = known.withColumn("_p", F.xxhash64("_id")).orderBy("_p", "_id").limit(rows).select("_id", "label")
+    d = docs.select(i.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # at most `rows` of two numbers go out; copies of an id meet in partial minima
+    found = d.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return found.select("doc_id", "label", F.col("t.text").alias("text"))
+
+
 def pieces(total: int, each: int) -> int:
     """Into how many parts of about `each` units a total goes."""
     return max(1, -(-int(total) // each))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, hash_spans, mix, parts, spans, utf8
+from tessera.llm.common import U, hash_spans, labelled_sample, mix, parts, spans, utf8
 from tessera.session import ship
 
 BITS = 18
@@ -107,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_
     Rows are turned into features where they lie; one task trains, on a bounded number of rows. 1 MB comes back.
     """
     ship(docs.sparkSession)
-    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).dropDuplicates(["_id"]).orderBy("place", "_id").limit(train_rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("place", "label", "text")
+    texts = labelled_sample(docs, labels, label, train_rows).select(F.xxhash64("doc_id").alias("place"), "label", "text")
     vectors = texts.mapInArrow(_vectors, "place long, label int, ids binary, shares binary")
     rows = vectors.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_train(epochs), "weights binary, bias double").collect()
     if not rows:
@@ -137,7 +136,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
     labels (doc_id, label) holds the rows that may be learned from. Only doc_id and text of docs are read. A null or
     empty text gets the score of the bias alone; null and repeated ids are rows like others, but for training a null id
-    or label is passed over and a doc_id labelled twice counts once. Without labels every score is 0.5.
+    or label is passed over, a doc_id labelled twice has the larger label, and of texts that share a doc_id one counts.
+    Without labels every score is 0.5.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, train_rows, epochs))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scores(model), "doc_id long, score double")

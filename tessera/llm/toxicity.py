@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U, hash_sums, mix, parts, spans, stored
+from tessera.llm.common import U, hash_sums, labelled_sample, mix, parts, spans, stored
 from tessera.llm.frequencies import document_frequencies, fold, terms_of
 from tessera.session import ship
 
@@ -339,16 +339,9 @@ def _scored(index, extra: str):
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, label, apart, text): at most `rows` labelled documents, those of the smallest hash of the id, one row each.
-
-    A doc_id that is labelled twice has the larger label; of rows that share a doc_id the text of the smallest hash
-    counts. apart marks one row in five.
-    """
-    i = F.col("doc_id").cast("long")
-    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(i.alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label")).withColumn("_p", F.xxhash64("_id")).orderBy("_p", "_id").limit(rows)
-    d = docs.select(i.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = d.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    return found.select("doc_id", "label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0).cast("int").alias("apart"), F.col("t.text").alias("text"))
+    """(doc_id, label, text, apart) of a bounded labelled sample; apart marks one row in five, for calibration."""
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+    return labelled_sample(docs, labels, label, rows).withColumn("apart", apart.cast("int"))
 
 
 def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, neighbours: int = NEIGHBOURS) -> Index:

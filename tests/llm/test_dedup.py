@@ -208,3 +208,56 @@ def test_embedding_dedup_equals_brute_force(spark, tile):
 
 def test_embedding_dedup_of_nothing(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(k, "one two three four five six" if k < 3 else f"text {k}", "i", 7, "f", 1, True, "t", "b") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash int, fingerprint string, component_id int, kept boolean, text_hash string, least string")
+    stay = one_of_each(docs)
+    assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [0, 3, 4, 5]
+    got = simhash_dedup(docs).collect()
+    assert len(got) == 6 and {r.component_id for r in got if r.doc_id < 3} == {0}
+
+
+def test_line_dedup_stage_with_the_operators_own_names(spark):
+    import corpus_pipeline
+
+    rows = [(k, "a\nb\nc\nd" if k < 2 else f"x{k}", "k", 5, 6, "r", 3, "c") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_text string, n_lines int, n_removed int, rest string, n_chars long, chunk string")
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == "a\nb\nc\nd" and got[1].text == "" and got[1].n_chars == 0
+    assert all((r.kept_text, r.n_lines, r.n_removed, r.rest, r.chunk) == ("k", 5, 6, "r", "c") for r in got.values())
+
+
+def test_embedding_dedup_of_odd_ids_and_extra_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, "n"), (1, [1.0, 0.0], 1, "n"), (1, [0.0, 1.0], 1, "n"), (None, [1.0, 0.0], 1, "n"), (2, [1.0, 0.01], 1, "n"), (3, [1.0, 0.0], None, "n")]
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string")).collect()
+    assert len(got) == 6
+    by = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got)
+    # a null id is linked with nothing; the repeated row is a copy; the other vector of id 1 stands alone
+    assert by == [("1", 0, "1"), ("1", 2, "1"), ("1", 2, "1"), ("2", 2, "1"), ("3", 0, "3"), ("None", 0, "None")]
+
+
+def test_tiles_are_bounded_and_grow_in_number():
+    from tessera.llm import simhash_dedup as sd
+
+    for n in (10**4, 10**6, 10**8, 10**10):
+        tile = max(sd.TILE, min(sd.MOST, -(-n // sd.TILES)))
+        places = tiles_of({p: max(1, int(n * w)) for p, w in zip(range(24, 41), np.exp(-((np.arange(17) - 8) ** 2) / 32) / 10)}, tile)
+        largest = max(-(-max(1, int(n * w)) // places[p][1]) for p, w in zip(range(24, 41), np.exp(-((np.arange(17) - 8) ** 2) / 32) / 10))
+        assert largest <= sd.MOST and sum(k for _, k in places.values()) >= min(n // (2 * sd.MOST), 1)
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *a: None), getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda p: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+    context.master = "local[4]"
+    assert common.shared_dir(session)

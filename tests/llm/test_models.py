@@ -435,6 +435,25 @@ def test_mined_rules_equal_brute_force(spark):
         assert judged.get(tuple(sorted(s))) == (max(fits)[3] if fits else None)
 
 
+def test_mined_rules_beat_the_base_rate_and_chance_makes_none(spark):
+    rng = random.Random(41)
+    hosts = [f"h{k}.example.net" for k in range(12)] + ["casino.example.org", "bet.example.org"]
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['a', 'b', 'c'])}/{rng.randint(1, 999)}") for k in range(4000)]
+    bad = lambda u: rng.random() < (0.95 if "example.org" in u else 0.1)
+    verdicts = [(u, "block" if bad(u) else "allow") for _, u in rows]
+    learn = spark.createDataFrame(verdicts[:2000], "url string, verdict string")
+    pages = spark.createDataFrame(rows[2000:], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter(pages, learn, rules=()).collect()}
+    right = sum(got[k] == v for (k, _), (_, v) in zip(rows[2000:], verdicts[2000:])) / 2000
+    base = max(sum(v == x for _, v in verdicts[2000:]) for x in ("allow", "block")) / 2000
+    assert right > base + 0.1
+    noise = spark.createDataFrame([(u, rng.choice(["allow", "allow", "allow", "block"])) for _, u in rows[:2000]], "url string, verdict string")
+    out = url_filter(pages, noise, rules=()).collect()
+    assert {r.verdict for r in out} == {"allow"} and all(r.confidence is None for r in out)
+    long = spark.createDataFrame([(1, "http://a.com/en/" + "x/" * 50_000 + "?" + "k=v&" * 1000), (2, "x" * 100_000), (2, "x" * 100_000)], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter(long, learn).collect()) == [(1, "block", "com/en/"), (2, "allow", None), (2, "allow", None)]
+
+
 def test_words_are_those_of_the_contract():
     import re
 
