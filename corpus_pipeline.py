@@ -26,8 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose lines under windows that an earlier place has; a text may become empty. n_chars follows."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = line_dedup(docs, rest=rest).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = line_dedup(docs, rest=rest)
+    # by place, as names of docs may be those of the operator's own columns
+    out = out.toDF(*[f"c{k}" for k in range(len(out.columns))])
+    by = {"doc_id": F.col("c0"), "text": F.col("c1")} | {c: F.col(f"c{k + 4}") for k, c in enumerate(rest)}
+    if "n_chars" in by:
+        by["n_chars"] = F.length("c1").cast("long")
+    return out.select(*[by[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
