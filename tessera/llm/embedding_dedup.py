@@ -14,6 +14,8 @@ from tessera.session import ship
 COSINE, TREES, SAMPLE, LEAF, TILE = 0.98, 6, 16_384, 2_048, 2_048
 #: Half the width of the band that goes to both sides, as a part of the largest distance of a pair.
 SPILL = 0.1
+#: A leaf's number: its tree in six bits, its node there in fourteen, and above them the way down its further splits.
+_FIRST = (1 << 20) - 1
 
 
 class Tree:
@@ -67,28 +69,100 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if n else x
 
 
-def _leaves(forests: dict[int, list[Tree]]):
+def _direction(dim: int, code: int) -> np.ndarray:
+    """The direction that a leaf is split along if it has to be: random, but the same everywhere."""
+    d = np.random.default_rng([dim, code]).standard_normal(dim)
+    return d / np.linalg.norm(d)
+
+
+def _refined(x: np.ndarray, rows: np.ndarray, codes: np.ndarray, splits: dict[tuple[int, int], float], margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) after the further splits of leaves; the bits above the first twenty are the way down."""
+    by = np.argsort(codes, kind="stable")
+    edge = np.flatnonzero(np.r_[True, codes[by][1:] != codes[by][:-1], True]) if len(codes) else np.zeros(1, np.int64)
+    todo = [(int(codes[by[a]]), rows[by[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    out_row, out_code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while todo:
+        code, own = todo.pop()
+        at = splits.get((x.shape[1], code))
+        if at is None or not len(own):
+            out_row.append(own)
+            out_code.append(np.full(len(own), code))
+            continue
+        p = x[own] @ _direction(x.shape[1], code)
+        low, way = code & _FIRST, code >> 20
+        todo += [(2 * way << 20 | low, own[p <= at + margin]), (2 * way + 1 << 20 | low, own[p >= at - margin])]
+    return np.concatenate(out_row), np.concatenate(out_code)
+
+
+def _leaves(forests: dict[int, list[Tree]], splits, margin: float, probe: bool = False):
+    """Rows with each leaf that they reach; probe: only (label, dim, leaf, p), p along the leaf's next direction."""
+
     def assign(batches):
+        further = splits.value if splits is not None else {}
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
-            out_row, out_leaf = [], []
+            out_row, out_leaf, out_p = [], [], []
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
                 x = _matrix(batch.column("v").take(pa.array(own)))
                 for t, tree in enumerate(forests.get(int(dim), [])):
-                    rows, leaves = tree.leaves_of(x)
+                    rows, leaves = _refined(x, *_coded(tree, x, t), further, margin)
                     out_row.append(own[rows])
-                    out_leaf.append(leaves * 64 + t)
+                    out_leaf.append(leaves)
+                    if probe:
+                        p = np.zeros(len(rows))
+                        for code in np.unique(leaves):
+                            there = leaves == code
+                            p[there] = x[rows[there]] @ _direction(int(dim), int(code))
+                        out_p.append(p)
                 if int(dim) not in forests:
                     out_row.append(own)
-                    out_leaf.append(np.zeros(len(own), np.int64))
+                    out_leaf.append(np.full(len(own), 1 << 20))
+                    out_p.append(np.zeros(len(own)))
             rows = pa.array(np.concatenate(out_row) if out_row else [], pa.int64())
-            columns = [batch.column(c).take(rows) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(out_leaf) if out_leaf else [], pa.int64())], names=[*batch.schema.names, "leaf"])
+            leaf = pa.array(np.concatenate(out_leaf) if out_leaf else [], pa.int64())
+            columns = ["label", "dim"] if probe else batch.schema.names
+            more = [pa.array(np.concatenate(out_p) if out_p else [], pa.float64())] if probe else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in columns), leaf, *more], names=[*columns, "leaf", *["p"] * probe])
 
     return assign
 
 
+def _coded(tree: Tree, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf), a leaf's number holding its tree and the beginning of the way down, 1."""
+    rows, leaves = tree.leaves_of(x)
+    return rows, 1 << 20 | leaves * 64 + t
+
+
+def further_splits(vectors: DataFrame, forests: dict[int, list[Tree]], margin: float, leaf: int) -> dict[tuple[int, int], float]:
+    """Where to split leaves that the sample was too small to split, level by level until none is large, at the median
+    that Spark finds of all their rows. A leaf that a split doesn't part (copies, a dense cluster) is left to tiles.
+
+    What comes to the driver is two numbers for each oversized leaf: at most one for every 4 x leaf rows and tree.
+    """
+    spark = vectors.sparkSession
+    kinds = vectors.select("label", "dim").schema.add("leaf", "long").add("p", "double")
+    splits: dict[tuple[int, int], float] = {}
+    sizes: dict[tuple[int, int], int] = {}
+    while True:
+        shared = spark.sparkContext.broadcast(splits)
+        probed = vectors.select("label", "dim", "v").mapInArrow(_leaves(forests, shared, margin, True), kinds)
+        large = probed.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("p", 0.5, 1000).alias("at")).where(F.col("n") > 4 * leaf)
+        found: dict[tuple[int, int], tuple[int, float]] = {}
+        for r in large.collect():
+            k = (r["dim"], r["leaf"])
+            found[k] = max(found.get(k, (0, 0.0)), (r["n"], r["at"]))
+        new = {}
+        for (dim, code), (n, at) in found.items():
+            parent = (dim, (code >> 21) << 20 | code & _FIRST)
+            if n <= 0.8 * sizes.get(parent, n * 2) and (dim, code) not in splits:
+                new[dim, code] = at
+                sizes[dim, code] = n
+        if not new:
+            return splits
+        splits |= new
+
+
 def tile_pairs(df: DataFrame, keys: list[str], tile: int) -> DataFrame:
     """Columns part, i, j for pairs of tiles of each group: one tile where a group has at most `tile` rows.
 
@@ -152,7 +226,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     a null or non-finite component, or has no vec_id or label, is linked with nothing and is its own component. No
     other columns are read. No rows give no rows.
 
-    The trees' splits are fitted on `sample` vectors (fixed by hash of vec_id) and every vector is dealt by them. Copies
+    The trees' first splits are fitted on `sample` vectors (fixed by a hash of the vector) and every vector is dealt by
+    them; where there are more vectors than such leaves hold, leaves are split on at medians of all their rows. Copies
     are compared once; a leaf or component of more than `tile` vectors is compared tile by tile in many tasks, which
     give spanning forests and counts, never pairs.
     """
@@ -173,7 +248,11 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         forests[dim] = [Tree(x, total * len(x) / len(drawn) / leaf, margin, t) for t in range(trees)]
     schema = distinct.select("label", "dim", "node", "v").schema.add("leaf", "long")
-    leaves = distinct.select("label", "dim", "node", "v").mapInArrow(_leaves(forests), schema)
+    # a sample makes one leaf of eight rows at least
+    splits = None
+    if total > leaf * max(1, len(drawn) // 8):
+        splits = vectors.sparkSession.sparkContext.broadcast(further_splits(distinct, forests, margin, leaf))
+    leaves = distinct.select("label", "dim", "node", "v").mapInArrow(_leaves(forests, splits, margin), schema)
     keys = ["label", "dim", "leaf"]
     found = tile_pairs(leaves, keys, tile).groupBy(*keys, "i", "j").applyInArrow(_links(cosine), "a long, b long")
     near = components(found)

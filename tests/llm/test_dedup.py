@@ -261,3 +261,35 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
         common.shared_dir(session)
     context.master = "local[4]"
     assert common.shared_dir(session)
+
+
+def test_leaves_are_split_on_beyond_the_sample(spark):
+    """A sample of 64 makes 8 leaves at most; 6,000 vectors need leaves that are split twice and more. Recall is exact here."""
+    from tessera.llm import embedding_dedup as ed
+
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((2500, 24))
+    x = np.concatenate([base, base[:2000] + rng.standard_normal((2000, 24)) * 0.08, rng.standard_normal((1500, 24))])
+    rows = [(k, [float(np.float32(v)) for v in r], 1) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df, sample=64, leaf=50, tile=64).collect()}
+    y = np.array([r[1] for r in rows])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.98
+    want = classes(near)
+    links = near.sum(axis=1) - 1
+    linked = np.flatnonzero(links)
+    assert len(linked) > 1000
+    found = np.array([got[k] == (links[k], want[k]) for k in range(len(rows))])
+    assert found[linked].mean() >= 0.95 and found.mean() >= 0.95
+    # leaves are bounded: by splits at the medians of all rows
+    vectors = df.selectExpr("label", "embedding as v", "size(embedding) as dim")
+    drawn = np.array([r[1] for r in rows[:64]])
+    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+    margin = ed.SPILL * float(np.sqrt(2 - 2 * 0.98))
+    forests = {24: [ed.Tree(drawn, 8, margin, t) for t in range(2)]}
+    splits = ed.further_splits(vectors, forests, margin, 50)
+    rows_, codes = ed._refined(y, *ed._coded(forests[24][0], y, 0), splits, margin)
+    _, count = np.unique(codes, return_counts=True)
+    assert count.max() <= 4 * 50 and max(c >> 20 for c in codes.tolist()) >= 4
+    assert len(np.unique(rows_)) == len(y)
