@@ -3,10 +3,17 @@
 Documents are dealt into memory-sized chunks. A chunk sends each of its distinct keys once, with the smallest
 document that has it, to the bucket of the key; so a key that a third of all documents hold costs a row's share per
 chunk and no more. A bucket answers with one bit for each key and chunk, in the order in which they were sent.
+
+Chunks and buckets grow in number with the input, and a row for each pair of them would in the end hold a key or none.
+So a chunk sends at most GROUPS rows: where there are more buckets, a row holds a run of buckets, and a step between
+takes as many chunks' rows for one run and deals them to its buckets. Answers go back the same way.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,6 +26,11 @@ from tessera.session import ship
 #: Text bytes of a chunk, and keys of a bucket.
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1_000_000
+#: Rows that a chunk sends at most, and chunks whose rows meet in a step between.
+GROUPS = 4096
+_BUNDLE = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("bundle", pa.binary())])
+_BETWEEN = pa.schema([("s", pa.int64()), ("part", pa.int64()), ("bucket", pa.int64()), ("bundle", pa.binary())])
+_BUNDLE_KIND, _BETWEEN_KIND = "chunk long, part long, bundle binary", "s long, part long, bucket long, bundle binary"
 
 SENT = "chunk long, bucket long, keys binary, checks binary, who binary, extra binary"
 ANSWER = "chunk long, bucket long, bits binary, extra binary"
@@ -124,3 +136,96 @@ def answers(ties: bool):
         return pa.Table.from_arrays([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary()), table["extra"].combine_chunks()], schema=_ANSWER) if n else _ANSWER.empty_table()
 
     return answer
+
+
+# ---------------------------------------------------------------- the way to the buckets and back
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _tuples(table: pa.Table) -> list[tuple]:
+    return list(zip(*[table[c].to_pylist() for c in table.column_names], strict=True))
+
+
+class Way:
+    """How rows (chunk, bucket, ...) of one schema reach their buckets, and rows of another their chunks again."""
+
+    def __init__(self, n_buckets: int, out: pa.Schema, kind: str, back: pa.Schema, back_kind: str, groups: int = GROUPS):
+        self.out, self.back, self.groups = out, back, groups
+        self.direct = n_buckets <= groups
+        self.run = -(-n_buckets // groups)
+        self.kind, self.back_kind = (kind, back_kind) if self.direct else (_BUNDLE_KIND, _BUNDLE_KIND)
+
+    def outbound(self, f: Callable, cogrouped: bool = False) -> Callable:
+        """f gives rows for buckets, bucket by bucket; of more buckets than `groups` a run goes in one row."""
+        if self.direct:
+            return f
+        run = self.run
+
+        def bundled(rows: pa.Table) -> pa.Table:
+            bundles: dict[tuple[int, int], list] = {}
+            for chunk, bucket, *rest in _tuples(rows):
+                bundles.setdefault((chunk, bucket // run), []).append((bucket, *rest))
+            return _table([(c, p, pickle.dumps(x)) for (c, p), x in bundles.items()], _BUNDLE)
+
+        def send(table: pa.Table) -> pa.Table:
+            return bundled(f(table))
+
+        def send_both(table: pa.Table, other: pa.Table) -> pa.Table:
+            return bundled(f(table, other))
+
+        return send_both if cogrouped else send
+
+    def inbound(self, f: Callable) -> Callable:
+        """f takes a chunk's documents and the rows that came back for it."""
+        if self.direct:
+            return f
+        back = self.back
+
+        def receive(documents: pa.Table, bundles: pa.Table) -> pa.Table:
+            rows = [(chunk, *x) for chunk, _, bundle in _tuples(bundles) for x in pickle.loads(bundle)]
+            return f(documents, _table(rows, back))
+
+        return receive
+
+    def meet(self, sent: DataFrame, kernel: Callable) -> DataFrame:
+        """What kernel answers to the rows of each bucket, by chunk."""
+        if self.direct:
+            return sent.groupBy("bucket").applyInArrow(kernel, self.back_kind)
+        groups, run, out = self.groups, self.run, self.out
+
+        def to_buckets(table: pa.Table) -> pa.Table:
+            s, part = table["s"][0].as_py(), table["part"][0].as_py()
+            found: dict[int, list] = {}
+            for chunk, bundle in zip(table["chunk"].to_pylist(), table["bundle"].to_pylist(), strict=True):
+                for bucket, *rest in pickle.loads(bundle):
+                    found.setdefault(bucket, []).append((chunk, *rest))
+            return _table([(s, part, b, pickle.dumps(x)) for b, x in found.items()], _BETWEEN)
+
+        def answer(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            rows = [(chunk, bucket, *rest) for bundle in table["bundle"] for chunk, *rest in pickle.loads(bundle.as_py())]
+            found: dict[int, list] = {}
+            for chunk, _, *rest in _tuples(kernel(_table(rows, out))):
+                found.setdefault(chunk // groups, []).append((chunk, *rest))
+            return _table([(s, bucket // run, bucket, pickle.dumps(x)) for s, x in found.items()], _BETWEEN)
+
+        def to_chunks(table: pa.Table) -> pa.Table:
+            part = table["part"][0].as_py()
+            found: dict[int, list] = {}
+            for bucket, bundle in zip(table["bucket"].to_pylist(), table["bundle"].to_pylist(), strict=True):
+                for chunk, *rest in pickle.loads(bundle):
+                    found.setdefault(chunk, []).append((bucket, *rest))
+            return _table([(c, part, pickle.dumps(x)) for c, x in found.items()], _BUNDLE)
+
+        some = sent.withColumn("s", F.expr(f"chunk div {groups}"))
+        dealt = some.groupBy("s", "part").applyInArrow(to_buckets, _BETWEEN_KIND)
+        met = dealt.groupBy("bucket").applyInArrow(answer, _BETWEEN_KIND)
+        return met.groupBy("s", "part").applyInArrow(to_chunks, _BUNDLE_KIND)
+
+
+def way_of_keys(n_buckets: int, groups: int = GROUPS) -> Way:
+    """For the rows of Distinct and their answers."""
+    return Way(n_buckets, _SENT, SENT, _ANSWER, ANSWER, groups)

@@ -81,7 +81,7 @@ def _finish(window: int, n_buckets: int):
     return finish
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, rest: list[str] | None = None, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, rest: list[str] | None = None, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS, groups: int = firsts.GROUPS) -> DataFrame:
     """One row per row of docs: doc_id, kept_text, n_lines, n_removed, and the columns of docs named in rest.
 
     Lines are what stands between line feeds, white space and empty lines included. A place is a document's id and the
@@ -94,8 +94,9 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, rest: list[str] | None = N
     _, size = text_bytes(docs)
     n_chunks, n_buckets = pieces(size, chunk_bytes), pieces(size // 50, bucket_keys)
     dealt = firsts.chunked(docs, n_chunks, rest)
-    sent = dealt.groupBy("chunk").applyInArrow(_send(window, n_buckets), firsts.SENT)
-    answer = sent.groupBy("bucket").applyInArrow(firsts.answers(ties=True), firsts.ANSWER)
+    way = firsts.way_of_keys(n_buckets, groups)
+    sent = dealt.groupBy("chunk").applyInArrow(way.outbound(_send(window, n_buckets)), way.kind)
+    answer = way.meet(sent, firsts.answers(ties=True))
     kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] + ([dealt.schema["rest"]] if rest else []))
-    out = dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(_finish(window, n_buckets), kinds)
+    out = dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(way.inbound(_finish(window, n_buckets)), kinds)
     return out.select("doc_id", "kept_text", "n_lines", "n_removed", *[F.col(f"rest.f{k}").alias(c) for k, c in enumerate(rest or [])])

@@ -185,7 +185,7 @@ def _finish(window: int, n_anchor_buckets: int, n_buckets: int):
     return finish
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = firsts.CHUNK_BYTES, bucket_keys: int = firsts.BUCKET_KEYS, groups: int = firsts.GROUPS) -> DataFrame:
     """One row per document: doc_id, kept_text, n_words, n_removed, removed_spans (word positions, end excluded).
 
     Only doc_id and text are read; other columns, whatever their names, are passed over. A null text has no words, a
@@ -197,8 +197,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = fi
     n_anchor = pieces(size // 6, 3 * bucket_keys // 2)
     n_runs = pieces(size // 6, 3 * bucket_keys)
     dealt = firsts.chunked(docs, n_chunks)
-    anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors(window, n_anchor), "chunk long, bucket long, entries binary")
-    hits = anchors.groupBy("bucket").applyInArrow(_match_anchors, "chunk long, bucket long, bits binary")
-    runs = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_send_runs(window, n_anchor, n_runs), firsts.SENT)
-    answer = runs.groupBy("bucket").applyInArrow(firsts.answers(ties=False), firsts.ANSWER)
-    return dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(_finish(window, n_anchor, n_runs), "doc_id long, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>")
+    by_anchor = firsts.Way(n_anchor, _ANCHORS, "chunk long, bucket long, entries binary", _HITS, "chunk long, bucket long, bits binary", groups)
+    by_run = firsts.way_of_keys(n_runs, groups)
+    anchors = dealt.groupBy("chunk").applyInArrow(by_anchor.outbound(_send_anchors(window, n_anchor)), by_anchor.kind)
+    hits = by_anchor.meet(anchors, _match_anchors)
+    runs = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(by_run.outbound(by_anchor.inbound(_send_runs(window, n_anchor, n_runs)), cogrouped=True), by_run.kind)
+    answer = by_run.meet(runs, firsts.answers(ties=False))
+    return dealt.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(by_run.inbound(_finish(window, n_anchor, n_runs)), "doc_id long, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>")

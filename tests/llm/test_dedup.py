@@ -53,7 +53,7 @@ def removed(rows, size=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_keys": 300}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_keys": 300}, {"chunk_bytes": 2000, "bucket_keys": 100, "groups": 3}])
 def test_substring_dedup_equals_brute_force(spark, sizes):
     rows = corpus()
     got = substring_dedup(spark.createDataFrame(rows, DOCS), **sizes).collect()
@@ -91,7 +91,7 @@ def lines_kept(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 300, "bucket_keys": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 300, "bucket_keys": 20}, {"chunk_bytes": 200, "bucket_keys": 5, "groups": 2}])
 def test_line_dedup_equals_brute_force(spark, sizes):
     rng = random.Random(5)
     line = ["", "one", "two é", "three", " four", "five"]
@@ -293,3 +293,21 @@ def test_leaves_are_split_on_beyond_the_sample(spark):
     _, count = np.unique(codes, return_counts=True)
     assert count.max() <= 4 * 50 and max(c >> 20 for c in codes.tolist()) >= 4
     assert len(np.unique(rows_)) == len(y)
+
+
+def test_rows_that_a_chunk_sends_stay_bounded(spark):
+    """Ten times the input has ten times the chunks and buckets; a chunk still sends as many rows."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import firsts
+    from tessera.llm import substring_dedup as sd
+
+    rng = random.Random(9)
+    most = {}
+    for n in (60, 600):
+        docs = spark.createDataFrame([(k, " ".join(str(rng.randrange(10**6)) for _ in range(200))) for k in range(n)], "doc_id long, text string")
+        n_chunks, n_buckets = n // 6, n // 3
+        way = firsts.Way(n_buckets, sd._ANCHORS, "chunk long, bucket long, entries binary", sd._HITS, "chunk long, bucket long, bits binary", 8)
+        sent = firsts.chunked(docs, n_chunks).groupBy("chunk").applyInArrow(way.outbound(sd._send_anchors(13, n_buckets)), way.kind)
+        most[n] = sent.groupBy("chunk").count().agg(F.max("count")).first()[0]
+    assert most[60] <= 8 and most[600] <= 8
