@@ -91,22 +91,11 @@ def filter_not_forms(spark, t):
     return predicate.select(t("orders"), ["o_orderkey"], [("o_orderstatus", "NOT IN", ["O", "P"]), ("o_orderpriority", "NOT LIKE", "URGENT"), ("o_totalprice", "NOT BETWEEN", [1000, 100000])])
 
 
-@query("SELECT event_id, nullif(event_type, 'click') AS kind, nullif(value, 0) AS v FROM events WHERE nullif(event_type, 'click') IS NULL OR value IS NOT NULL AND event_id <= 500")
-def filter_is_null(spark, t):
-    e = t("events").select("event_id", F.nullif("event_type", F.lit("click")).alias("kind"), "value").withColumn("v", F.nullif("value", F.lit(0.0)))
-    return predicate.where(e, [("kind", "IS", None), "value IS NOT NULL", "event_id <= 500"], "1 OR (2 AND 3)").select("event_id", "kind", "v")
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE false")
 def filter_empty_in(spark, t):
     return predicate.select(t("orders"), ["o_orderkey", "o_custkey"], [("o_orderkey", "IN", [])])
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 100")
-def select_columns_ci(spark, t):
-    return predicate.select(t("orders"), ["O_ORDERKEY", "o_TotalPrice"], ["O_OrderKey < 100"])
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def placeholder_semi(spark, t):
     nation = t("nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
@@ -496,12 +485,6 @@ def outliers_to_zero(spark, t):
 
 # ---------------------------------------------------------------- cleaning
 
-@query("SELECT conv_id, turn, role, trim(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def clean_text(spark, t):
-    c = t("conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", "role", cleaning.clean(F.col("text")).alias("text"))
-
-
 @query()
 def clean_nfkc(spark, t):
     return t("documents").select("doc_id", cleaning.clean(F.col("text")).alias("text"))

@@ -271,6 +271,20 @@ def filter_unknown(spark, t):
     return spark.createDataFrame(rows, "r_name string, error string")
 
 
+@query("SELECT event_id, nullif(event_type, 'click') AS kind, nullif(value, 0) AS v FROM events WHERE nullif(event_type, 'click') IS NULL OR value IS NOT NULL AND event_type = 'view' OR nullif(value, 0) IS NULL AND user_id IS NOT NULL")
+def filter_nulls(spark, t):
+    """IS and IS NOT, with and without a value, over all events."""
+    e = t("events").select("event_id", F.nullif("event_type", F.lit("click")).alias("kind"), "event_type", "user_id", "value").withColumn("v", F.nullif("value", F.lit(0.0)))
+    conditions = [("kind", "IS", None), "value IS NOT NULL", "event_type = 'view'", "v IS NULL", ("user_id", "IS NOT", None)]
+    return predicate.where(e, conditions, "1 OR (2 AND 3) OR (4 AND 5)").select("event_id", "kind", "v")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'")
+def select_any_case(spark, t):
+    """Columns by names in any case, spelled as the table spells them."""
+    return predicate.select(t("orders"), ["O_ORDERKEY", "o_TotalPrice"], ["O_OrderStatus != 'P'"])
+
+
 # ---------------------------------------------------------------- names
 
 
