@@ -349,6 +349,33 @@ def cast(df: DataFrame, config: CastConfig = CastConfig(), dtypes: dict[str, str
     return plan_cast(df, config, dtypes).apply(df)
 
 
+# Names of types, as pandas, numpy and SQL spell them, and the kinds that they mean.
+KIND_NAMES = {
+    "int": "integer", "int8": "integer", "int16": "integer", "int32": "integer", "int64": "integer", "integer": "integer", "bigint": "integer", "long": "integer",
+    "float": "float", "float32": "float", "float64": "float", "double": "float", "number": "float",
+    "bool": "boolean", "boolean": "boolean", "datetime": "timestamp", "datetime64[ns]": "timestamp", "timestamp": "timestamp", "date": "date",
+    "str": "string", "string": "string", "object": "string", "category": "string", "timedelta": "duration", "timedelta64[ns]": "duration",
+}
+
+
+def kind_name(name: str) -> str:
+    """The kind that a type's name means, in any case; a name that isn't known is an error."""
+    kind = KIND_NAMES.get(name.strip().lower())
+    if kind is None:
+        raise ValueError(f"{name!r} is no type's name")
+    return kind
+
+
+def safe_astype(df: DataFrame, types: dict[str, str], strict: bool = False) -> DataFrame:
+    """Columns as the kinds that names mean; what doesn't fit becomes null, or with strict is an error that counts it."""
+    made = {c: F.col(f"`{c}`").cast("string") if kind_name(n) == "string" else CONVERSIONS[kind_name(n)](F.col(f"`{c}`")) for c, n in types.items()}
+    if strict and made:
+        row = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & x.isNull()).alias(c) for c, x in made.items()]).first().asDict()
+        if bad := {c: n for c, n in row.items() if n}:
+            raise ValueError("; ".join(f"{c}: {n} values are no {types[c]}" for c, n in bad.items()))
+    return df.withColumns(made)
+
+
 def auto_cast(df: DataFrame) -> DataFrame:
     return cast(df, CastConfig(use_transform=False))
 

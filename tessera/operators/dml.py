@@ -106,6 +106,33 @@ def upsert_checked(target: DataFrame, source: DataFrame, spec: TableSpec, key: l
     return Change(upsert(target, accepted, key), rows.where(F.col(REASON).isNotNull()).unionByName(later), accepted)
 
 
+class Rejected(ValueError):
+    """A row that an operation would not take."""
+
+
+def taken_or_raise(change: Change, order_by: list[str]) -> DataFrame:
+    """The new table if nothing was rejected; else an error that names the first rejected row and its reason."""
+    first = first_errors(change.rejected, order_by, 1).collect()
+    if first:
+        row = first[0].asDict()
+        raise Rejected(f"{row.pop(REASON)}: {row}")
+    return change.table
+
+
+def key_difference(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that stand more often on one side: (key, side), side being 'one' or 'two'; a key comes as often as it is over."""
+    a, b = (df.select(*[F.col(f"`{k}`") for k in key]) for df in (one, two))
+    return a.exceptAll(b).withColumn("side", F.lit("one")).unionAll(b.exceptAll(a).withColumn("side", F.lit("two")))
+
+
+def distinct_union(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames, each once; columns by name, null where a frame lacks one."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.distinct()
+
+
 def first_errors(rejected: DataFrame, order_by: list[str], most: int = 10) -> DataFrame:
     """The first rejected rows by an order, with their reasons: a bounded sort."""
     return rejected.orderBy(*[F.col(f"`{c}`") for c in order_by], REASON).limit(most)

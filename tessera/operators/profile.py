@@ -153,6 +153,13 @@ def head_tail(df: DataFrame, order_by: list[str], percent: float = 5, drop_nulls
     return own.orderBy(*[c.asc() for c in cols]).limit(n).unionAll(own.orderBy(*[c.desc() for c in cols]).limit(n)).distinct()
 
 
+def series_ends(df: DataFrame, column: str, order_by: list[str], percent: float = 5) -> tuple[DataFrame, DataFrame]:
+    """The first and the last percent of a column's values by an order (one at least): two bounded sorts."""
+    n = max(1, int(df.count() * percent / 100))
+    cols = [F.col(f"`{c}`") for c in order_by]
+    return tuple(df.orderBy(*[c.asc() if up else c.desc() for c in cols]).limit(n).select(F.col(f"`{column}`")) for up in (True, False))
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows that a seeded hash of the row decides, the same in each run."""
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])).limit(n)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.casting import CastConfig, plan_cast
 from tessera.functions.cleaning import quick_clean
+from tessera.logs import short, timed
 from tessera.operators import dml
 from tessera.operators.align import AlignConfig, Aligner, AlignReport
 from tessera.operators.profile import decide_key, derive_key, is_unique, profile
@@ -36,6 +39,22 @@ class LoadResult:
     status: str = "COMPLETED"
     #: The change itself, where an operation keeps it: rows taken and rows rejected, for counts by chunk.
     change: dml.Change | None = None
+    #: How long the operation took.
+    seconds: float = 0.0
+
+
+def _timed(f):
+    """Logs an operation and notes its time in what it returns."""
+
+    @functools.wraps(f)
+    def run(self, *a, **k):
+        began = time.perf_counter()
+        with timed(f"ETL.{f.__name__}", arguments=[short(x) for x in a]):
+            out = f(self, *a, **k)
+        (out[0] if isinstance(out, tuple) else out).seconds = time.perf_counter() - began
+        return out
+
+    return run
 
 
 class ETL:
@@ -50,6 +69,7 @@ class ETL:
         df = sanitize_columns(df) if rename else df
         return plan_cast(df, self.cast).apply(df)
 
+    @_timed
     def create_load(self, source: Any, table: str, pk: str | list[str] | None = None, replace: bool = True, unique: tuple = (), rename: bool = True) -> LoadResult:
         """A new table of the source's columns, with its rows; pk: names, 'derive', or None for no key."""
         df = self.prepare(source, rename)
@@ -70,6 +90,7 @@ class ETL:
             self.catalog.add_columns(table, [f for f in out.spec.schema if f.name in out.report.added])
         return out
 
+    @_timed
     def append(self, source: Any, table: str, rename: bool = True, add_missing: bool = False, tolerance: int | None = None) -> LoadResult:
         """Rows that violate nothing are added, in files beside those there are; with more than `tolerance` others, nothing is."""
         out = self._aligned(source, table, rename, add_missing)
@@ -87,6 +108,7 @@ class ETL:
             taken.unpersist()
         return LoadResult(table, "append", total, change.rejected if bad else None, out.report, change=change)
 
+    @_timed
     def upsert(self, source: Any, table: str, key: str | list[str] | None = None, order_by: list[str] | None = None, rename: bool = True, add_missing: bool = False) -> LoadResult:
         """By the key given, or the table's primary key."""
         out = self._aligned(source, table, rename, add_missing)
@@ -97,6 +119,7 @@ class ETL:
         self.catalog.upsert(table, out.df, own, order_by)
         return LoadResult(table, "upsert", out.report.rows, report=out.report, key=own)
 
+    @_timed
     def execute(self, operation: str, source: Any, table: str, key: str | list[str] | None = None, chunk: Column | None = None, rename: bool = True, add_missing: bool = False) -> tuple[LoadResult, DataFrame]:
         """A checked insert or upsert: rows that violate nothing are taken, the others come back with reasons.
 
@@ -122,6 +145,7 @@ class ETL:
             self.catalog.upsert(table, change.accepted, own)
         return LoadResult(table, operation, good, change.rejected if bad else None, out.report, own, ok=not bad, change=change), counts
 
+    @_timed
     def update(self, values: Mapping[str, Any], table: str, where: Any, expression: str | None = None) -> LoadResult:
         """Columns set where the predicate holds; total is the number of rows that it selects."""
         target = self.catalog.table(table)

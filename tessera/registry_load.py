@@ -576,9 +576,74 @@ def clean_characters(spark, t):
     return t("nation").select("n_nationkey", cleaning.clean(s).alias("v"), marks.alias("marks"), cleaning.clean(F.col("n_name"), swap).alias("mapped"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS a, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS b, CAST(o_orderdate AS TIMESTAMP) AS c, true AS raised FROM orders")
+def astype_by_name(spark, t):
+    """Columns as types by names of any origin; strict conversions count what doesn't fit, in an error."""
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "?").otherwise(F.col("o_custkey").cast("string")).alias("a"), F.col("o_totalprice").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"))
+    names = {"a": "Int64", "b": "object", "c": "datetime64[ns]"}
+    try:
+        casting.safe_astype(o, names, strict=True)
+        raised = False
+    except ValueError:
+        raised = True
+    return casting.safe_astype(o, names).withColumns({"b": F.col("b").isNotNull(), "raised": F.lit(raised)})
+
+
+@query("WITH n AS (SELECT greatest(1, CAST(floor(count(*) * 0.03) AS BIGINT)) AS n FROM orders), r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey DESC) AS b FROM orders) SELECT 'first' AS side, o_totalprice FROM r, n WHERE a <= n UNION ALL SELECT 'last', o_totalprice FROM r, n WHERE b <= n")
+def series_ends(spark, t):
+    """The first and the last three in a hundred of a column's values."""
+    a, b = profile.series_ends(t("orders"), "o_totalprice", ["o_orderkey"], 3)
+    return a.select(F.lit("first").alias("side"), "o_totalprice").unionAll(b.select(F.lit("last").alias("side"), "o_totalprice"))
+
+
 # ---------------------------------------------------------------- loads
 
 
+@query("SELECT o_orderkey, 'one' AS side FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT o_orderkey, 'two' FROM orders WHERE o_orderkey % 4 = 2")
+def key_sets(spark, t):
+    """Keys that stand on one side only, by side."""
+    o = t("orders")
+    return dml.key_difference(o.where("o_orderkey % 4 < 2"), o.where("o_orderkey % 4 in (0, 2)"), ["o_orderkey"])
+
+
+@query("SELECT c_nationkey AS k, 'customer' AS source FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier UNION SELECT n_nationkey, NULL FROM nation")
+def union_of_distinct(spark, t):
+    """The rows of several frames, each once, null where a frame lacks a column."""
+    frames = [t("customer").select(F.col("c_nationkey").alias("k"), F.lit("customer").alias("source")), t("supplier").select(F.lit("supplier").alias("source"), F.col("s_nationkey").alias("k")), t("nation").select(F.col("n_nationkey").alias("k"))]
+    return dml.distinct_union(frames)
+
+
+@query("SELECT o_orderkey FROM orders WHERE false")
+def change_trial(spark, t):
+    """A cycle of inserts, upserts and an update gives what it should: the keys that differ are none."""
+    from tessera.operators import harness
+
+    return harness.trial(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice"), ["o_orderkey"], "o_orderstatus", "U")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3")
+def change_trial_that_fails(spark, t):
+    """The same cycle with an upsert that spoils the tenth part of the rows: the trial names them."""
+    from tessera.operators import harness
+
+    def upsert(table, rows):
+        return dml.upsert(table, rows, ["o_orderkey"]).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, -1.0).otherwise(F.col("o_totalprice")))
+
+    return harness.trial(t("orders").select("o_orderkey", "o_totalprice", "o_custkey"), ["o_orderkey"], "o_custkey", 0, upsert=upsert)
+
+
+@query("SELECT n_name, 'UPDATE nation SET n_name = :s_0 WHERE n_nationkey = :w_0' AS updated, 'INSERT INTO nation (n_nationkey, n_name) VALUES (:n_nationkey, :n_name) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = excluded.n_name' AS upserted, CASE WHEN n_nationkey % 3 = 0 THEN 'table nation has no column NO_SUCH' ELSE '' END AS error FROM nation")
+def checked_statements(spark, t):
+    """Statements whose names are checked against the table and spelled as it does; errors for rows with others."""
+    nation, out = t("nation"), []
+    for r in nation.collect():
+        row = {"N_NATIONKEY": r.n_nationkey, "N_NAME": r.n_name}
+        u = sqltext.checked("update", "nation", nation.columns, {"N_NAME": r.n_name}, "sqlite", conditions=[("N_NATIONKEY", "=", r.n_nationkey)]).sql
+        _, errors = sqltext.checked_rows("insert", "nation", nation.columns, [row | ({"NO_SUCH": 1} if r.n_nationkey % 3 == 0 else {})], "sqlite")
+        out.append((r.n_name, u, sqltext.checked("upsert", "nation", nation.columns, row, "sqlite", key=["N_NationKey"]).sql, "".join(errors)))
+    return spark.createDataFrame(out, "n_name string, updated string, upserted string, error string")
+
+
 def _changes(t):
     """Changes to orders: new and known keys, keys that repeat, and rows without a status or a key."""
     o = t("orders").where("o_orderkey % 2 = 0").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.lit("N")).alias("o_orderstatus"))
@@ -620,6 +685,17 @@ def load_chunks(spark, t):
     return etl.execute("upsert", _changes(t), "orders", chunk=(F.col("o_custkey") % 8).cast("long"))[1]
 
 
+@query(_CHANGES + " SELECT reason || ': first of ' || count(*) OVER () AS error FROM r WHERE reason IS NOT NULL ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST, reason LIMIT 1")
+def first_failure_raises(spark, t):
+    """An operation that takes all rows or raises at the first that it can't take."""
+    change = _checked(spark, t)
+    try:
+        return dml.taken_or_raise(change, ["o_custkey", "o_orderkey"])
+    except dml.Rejected as e:
+        reason = ":".join(str(e).split(":")[:2])
+        return change.rejected.agg(F.concat(F.lit(f"{reason}: first of "), F.count(F.lit(1)).cast("string")).alias("error"))
+
+
 def _loaded(spark, t, name: str = "orders"):
     """A facade with a table of every third order left out, from a CSV file."""
     etl = ETL(spark, _shared(spark))

@@ -178,3 +178,47 @@ def test_statements_as_rows(spark):
     assert out.select("statement").distinct().count() == 1
     assert sqltext.quote("a#b", "oracle") == "A#B" and sqltext.quote("a#b", "mysql") == "`a#b`"
     assert [sqltext.quote("level", d) for d in ("oracle", "sqlite")] == ['"level"', "level"]
+
+
+def test_logs_of_calls_and_frames(spark, catalog, caplog):
+    import json
+    import logging
+
+    from tessera import logs
+
+    @logs.log_call
+    def add(a, b=1):
+        return a + b
+
+    @logs.log_call(when=lambda: False)
+    def quiet():
+        return 1
+
+    @logs.log_call
+    def fails():
+        raise ValueError("no")
+
+    with caplog.at_level(logging.INFO, "tessera"):
+        assert add(1, b=2) == 3 and quiet() == 1
+        with pytest.raises(ValueError):
+            fails()
+        assert logs.log_frame(catalog.table("t"), "t", 2).columns == ["k", "v"]
+        assert ETL(spark, catalog).update({"v": "z"}, "t", ["k = 1"]).seconds > 0
+    lines = [json.loads(r.message) for r in caplog.records if r.name == "tessera"]
+    assert lines[0]["arguments"] == ["1", "b=2"] and lines[0]["seconds"] >= 0
+    assert lines[1]["error"] == "ValueError: no"
+    assert lines[2]["schema"] == {"k": "bigint", "v": "string"} and len(lines[2]["rows"]) == 2
+    assert lines[-1]["event"] == "ETL.update"
+
+
+def test_strict_types_and_first_failure(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "s string")
+    with pytest.raises(ValueError, match="s: 1 values are no int"):
+        casting.safe_astype(df, {"s": "int"}, strict=True)
+    with pytest.raises(ValueError):
+        casting.safe_astype(df, {"s": "complex"})
+    spec = TableSpec("t", df.schema, ("s",))
+    change = dml.insert(spark.createDataFrame([("1",)], "s string"), df, spec)
+    with pytest.raises(dml.Rejected, match="key:s"):
+        dml.taken_or_raise(change, ["s"])
+    assert dml.taken_or_raise(dml.insert(df.limit(0), df, spec), ["s"]).count() == 2
