@@ -485,7 +485,12 @@ def outliers_to_zero(spark, t):
 
 # ---------------------------------------------------------------- cleaning
 
-@query()
+#: Cleaning without words for null. SQL has canonical composition only, which is the same as NFKC where no text holds a
+#: compatibility character.
+CLEANED = "SELECT {}, trim(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(8230), '...'), chr(160) || chr(8216) || chr(8217) || chr(8211) || chr(8212), ' ''''--'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{180E}}]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8232) || chr(8233)) AS text FROM {}"
+
+
+@query(f"SELECT doc_id, CASE WHEN text NOT IN ('nan', 'None', 'NAT', 'NAN', 'null') THEN text END AS text FROM ({CLEANED.format('doc_id', 'documents')})")
 def clean_nfkc(spark, t):
     return t("documents").select("doc_id", cleaning.clean(F.col("text")).alias("text"))
 

@@ -10,7 +10,7 @@ from tessera.operators import align, dml, profile
 from tessera.operators.align import AlignConfig, Aligner
 from tessera.pipeline import ETL, generate_configs, propose, run_batch, write_csv
 from tessera.plans import ddl, predicate, sqltext
-from tessera.registry import _shared, query
+from tessera.registry import CLEANED, _shared, query
 from tessera.sources.catalog import Catalog
 from tessera.sources.readers import flatten, load_config, read_any
 from tessera.sources.spec import TableSpec, target_kind
@@ -555,10 +555,7 @@ def cast_careful(spark, t):
     return casting.cast(_texts(t), casting.CastConfig(use_transform=False, infer_threshold=0.95, max_null_increase=0.01))
 
 
-_CLEANED = "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(8230), '...'), chr(160) || chr(8216) || chr(8217) || chr(8211) || chr(8212), ' ''''--'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{180E}]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8232) || chr(8233)) AS text FROM conversations"
-
-
-@query(_CLEANED)
+@query(CLEANED.format("conv_id, turn", "conversations"))
 def clean_all_texts(spark, t):
     """All conversations, whatever their script; composed letters, as SQL has no compatibility form."""
     config = cleaning.CleaningConfig(normal_form="NFC", null_words=())
