@@ -171,6 +171,21 @@ def align(df: DataFrame, spec: TableSpec, preset: str | AlignConfig = "balanced"
     return Aligner(spec, config).align(df, **how).df
 
 
+def routed(df: DataFrame, spec: TableSpec, on_error: str = "coerce", col_map: dict[str, str] | None = None) -> Aligned:
+    """Alignment by what text columns hold: JSON (in nine of ten values) goes on as compact JSON with sorted keys, nested
+    values become such text, and other text stays as it is. on_error: coerce makes what doesn't fit null, raise is an
+    error at the first column that has such a value."""
+    if on_error not in ("coerce", "raise"):
+        raise ValueError(f"on_error {on_error!r} is neither coerce nor raise")
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    kinds = casting.plan_cast(df.select(*[F.col(f"`{c}`") for c in text])).semantic if text else {}
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))]
+    made = {c: casting.to_json_text(F.col(f"`{c}`")) for c, k in kinds.items() if k == "STRUCTURED_OBJECT"}
+    made |= {c: F.to_json(F.col(f"`{c}`")) for c in nested}
+    config = AlignConfig("strict", 0.0) if on_error == "raise" else AlignConfig("permissive", None)
+    return Aligner(spec, config).align(df.withColumns(made) if made else df, col_map)
+
+
 strict_align = functools.partial(align, preset="strict")
 fast_align = functools.partial(align, preset="fast")
 safe_align = functools.partial(align, preset="balanced")

@@ -451,6 +451,23 @@ def align_decorated(spark, t):
     return counted(o.withColumnRenamed("customer", "o_custkey"))
 
 
+@query("SELECT event_id, '{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}' AS props, event_type, '[' || user_id || ',' || event_id || ']' AS pair, CASE WHEN event_id % 6 <> 0 THEN CAST(user_id AS DOUBLE) END AS amount, true AS raised FROM events")
+def align_routed(spark, t):
+    """JSON text is made compact, nested values become JSON, other text stays; what doesn't fit is null, or an error."""
+    e = t("events").select(
+        "event_id", F.concat(F.lit('{ "b": "'), "event_type", F.lit('", "a": '), F.col("event_id").cast("string"), F.lit("}")).alias("Props"), "event_type",
+        F.array("user_id", "event_id").alias("pair"), F.when(F.col("event_id") % 6 == 0, "?").otherwise(F.col("user_id").cast("string")).alias("amount"),
+    )
+    schema = T.StructType([T.StructField("event_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("props", "event_type", "pair")], T.StructField("amount", T.DoubleType())])
+    spec = TableSpec("events", schema, ("event_id",))
+    try:
+        align.routed(e, spec, on_error="raise")
+        raised = False
+    except align.AlignmentError:
+        raised = True
+    return align.routed(e, spec).df.withColumn("raised", F.lit(raised))
+
+
 @query("SELECT event_id, CAST(NULL AS BLOB) AS v FROM events")
 def strict_binary(spark, t):
     """What isn't bytes is no bytes."""
