@@ -17,6 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _tables = {"n": 0}
+_written: dict[str, list[str]] = {}
 
 #: A word of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,14 +49,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back."""
+    """Write a frame as Parquet in the shared folder and read it back. Results that aren't computed yet need it: clear()
+    deletes it when they are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete what stored() wrote in this application; for when all results that were built on it are written. How many
+    folders went."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes of a text column), from one scan."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()

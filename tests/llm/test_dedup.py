@@ -311,3 +311,15 @@ def test_rows_that_a_chunk_sends_stay_bounded(spark):
         sent = firsts.chunked(docs, n_chunks).groupBy("chunk").applyInArrow(way.outbound(sd._send_anchors(13, n_buckets)), way.kind)
         most[n] = sent.groupBy("chunk").count().agg(F.max("count")).first()[0]
     assert most[60] <= 8 and most[600] <= 8
+
+
+def test_stored_folders_are_cleared(spark):
+    import os
+
+    from tessera.llm import common
+
+    common.clear(spark)
+    df = common.stored(spark.range(10))
+    (path,) = common._written[spark.sparkContext.applicationId]
+    assert df.count() == 10 and os.path.isdir(path)
+    assert common.clear(spark) == 1 and not os.path.exists(path) and common.clear(spark) == 0
