@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,30 +180,55 @@ def _ranges(start: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(of)) + (start[place] - np.cumsum(size) + size)[of], of
 
 
+@dataclass
+class Examples:
+    """Labelled rows' terms in a row: those of the k-th stand at begin[k]..begin[k + 1]."""
+
+    doc: np.ndarray
+    label: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Examples:
+        joined = [np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[k]) for r in rows]]) for k in (2, 3)]
+        return Examples(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.cumsum([0, *(len(r[2]) for r in rows)]), joined[0].astype(np.int32), joined[1].astype(np.uint32))
+
+    def where(self, keep: np.ndarray) -> Examples:
+        own = np.flatnonzero(keep)
+        entry, _ = _ranges(self.begin, own)
+        return Examples(self.doc[own], self.label[own], np.r_[0, np.cumsum(np.diff(self.begin)[own])], self.place[entry], self.count[entry])
+
+
 class Index:
     """Examples as unit vectors, in blocks, with each term's largest weight in each block.
 
-    weight: of each term of the vocabulary (0: no term); examples: (doc_id, label, places, counts); share: the prior.
+    weight: of each term of the vocabulary (0: no term); examples: (doc_id, label, places, counts) of each, or Examples;
+    share: the prior.
     """
 
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, neighbours: int, curve: tuple[float, float] = (1.0, 0.0)):
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, examples, share: float, neighbours: int, curve: tuple[float, float] = (1.0, 0.0)):
         self.vocabulary, self.weight, self.share, self.neighbours, self.curve = vocabulary, weight, share, neighbours, curve
-        often = np.bincount(np.concatenate([np.zeros(0, np.int64), *[e[2] for e in examples]]), minlength=len(weight))
-        rows = []
-        for doc, label, place, count in examples:
-            w = (1 + np.log(count)) * weight[place]
-            norm = np.linalg.norm(w)
-            if norm > 0:
-                # similar ones stand together: by the heaviest term, the commonest one (their language's), and length
-                top = int(place[np.argmax(w)]) if w.max() > 0.5 * norm else -1
-                rows.append(((top, int(place[np.argmax(often[place])]), len(place), doc), doc, label, place, w / norm))
-        rows.sort(key=lambda r: r[0])
-        self.doc = np.array([r[1] for r in rows], np.int64)
-        self.label = np.array([r[2] for r in rows], np.int64)
-        self.blocks = -(-len(rows) // BLOCK)
-        place = np.concatenate([np.zeros(0, np.int64), *[r[3] for r in rows]])
-        value = np.concatenate([np.zeros(0), *[r[4] for r in rows]])
-        example = np.repeat(np.arange(len(rows)), np.array([len(r[3]) for r in rows], np.int64))
+        e = examples if isinstance(examples, Examples) else Examples.of(examples)
+        often = np.bincount(e.place, minlength=len(weight))
+        row = np.repeat(np.arange(len(e.doc)), np.diff(e.begin))
+        value = ((1 + np.log(e.count)) * weight[e.place]).astype(np.float32)
+        norm = np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(e.doc)))
+        value /= np.maximum(norm, 1e-300)[row].astype(np.float32)
+        del row
+        keys = []
+        for k in np.flatnonzero(norm > 0).tolist():
+            p, v = e.place[e.begin[k] : e.begin[k + 1]], value[e.begin[k] : e.begin[k + 1]]
+            # similar ones stand together: by the heaviest term, the commonest one (their language's), and length
+            top = int(p[np.argmax(v)]) if v.max() > 0.5 else -1
+            keys.append((top, int(p[np.argmax(often[p])]), len(p), int(e.doc[k]), k))
+        order = np.array([k[-1] for k in sorted(keys)], np.int64)
+        self.doc, self.label = e.doc[order], e.label[order]
+        self.blocks = -(-len(order) // BLOCK)
+        entry, example = _ranges(e.begin, order)
+        place, value, example = e.place[entry], value[entry], example.astype(np.int32)
+        del entry
         # the commonest terms as columns, and the largest of each block
         common = np.argsort(-often, kind="stable")[:_COMMON]
         self.column = np.full(len(weight), -1, np.int32)
@@ -213,7 +240,7 @@ class Index:
         # the others as lists
         place, value, example = place[~mine], value[~mine], example[~mine]
         by = np.argsort(place, kind="stable")
-        self.posting, self.value = example[by].astype(np.int32), value[by].astype(np.float32)
+        self.posting, self.value = example[by], value[by]
         self.start = np.searchsorted(place[by], np.arange(len(weight) + 1))
 
     def nearest(self, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +371,18 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> Data
     return labelled_sample(docs, labels, label, rows).withColumn("apart", apart.cast("int"))
 
 
+def _numbers(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of a column of packed ones in a row, where each row's begin)."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    whole = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    wide = pa.types.is_large_binary(whole.type)
+    _, offsets, data = whole.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    numbers = np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]].copy().view(kind)
+    return numbers, (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, neighbours: int = NEIGHBOURS) -> Index:
     """The index: examples from a bounded sample of labels, document frequencies from all docs."""
     spark = docs.sparkSession
@@ -353,15 +392,19 @@ def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAI
     tells = [evidence_of(got, part) for part in (0, 1)]
     heads = spark.sparkContext.broadcast(Vocabulary(np.concatenate([t for t, _ in tells])))
     n, by_word, by_head = document_frequencies(docs, heads)
-    # bounded by the sample
-    rows = sample.mapInArrow(_vectors(heads), "doc_id long, label int, apart int, terms binary, counts binary, words int").collect()
-    rows = sorted(((r["doc_id"], r["label"], r["apart"], np.frombuffer(r["terms"], U), np.frombuffer(r["counts"], np.uint32), r["words"]) for r in rows), key=lambda r: r[0])
-    terms = np.unique(np.concatenate([np.zeros(0, U), *[r[3] for r in rows]]))
+    # bounded by the sample; as Arrow's buffers, which take no more room than the numbers
+    table = sample.mapInArrow(_vectors(heads), "doc_id long, label int, apart int, terms binary, counts binary, words int").toArrow().sort_by("doc_id").combine_chunks()
+    hashes, begin = _numbers(table["terms"], U)
+    terms = np.unique(hashes)
+    place = np.searchsorted(terms, hashes).astype(np.int32)
+    del hashes
+    size, words = np.diff(begin), np.asarray(table["words"]).astype(np.int64)
     is_word = np.zeros(len(terms), bool)
-    for r in rows:
-        is_word[np.searchsorted(terms, r[3][: r[5]])] = True
+    is_word[place[np.arange(len(place)) - np.repeat(begin[:-1], size) < np.repeat(words, size)]] = True
+    every = Examples(np.asarray(table["doc_id"]), np.asarray(table["label"]).astype(np.int64), begin, place, _numbers(table["counts"], np.uint32)[0])
+    apart = np.asarray(table["apart"]) == 1
+    del table
     vocabulary = Vocabulary(terms, heads.value.terms)
-    rows = [(d, y, apart, np.searchsorted(terms, t), c) for d, y, apart, t, c, _ in rows]
     df = by_word[terms_of(terms)].astype(np.float64)
     special = np.isin(terms, heads.value.terms)
     df[special] = by_head[np.searchsorted(heads.value.terms, terms[special])]
@@ -373,18 +416,19 @@ def build(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAI
         # beginnings of words that tell the label in the other part alone are no terms here
         boost = is_word.astype(np.float64)
         boost[own] = np.maximum(1, chi[np.searchsorted(evident, terms[own])])
-        used = [r for r in rows if not part or not r[2]]
-        without = [r[1] for r in used if not own[r[3]].any()]
-        share = (sum(without) + 1) / (len(without) + 2) if used else 0.5
-        return Index(vocabulary, idf * boost, [(d, y, p, c) for d, y, _, p, c in used], share, neighbours, curve)
-
-    apart = [r for r in rows if r[2]]
-    curve = (1.0, 0.0)
-    if min(sum(r[1] for r in apart), sum(1 - r[1] for r in apart)) >= ENOUGH:
+        used = every.where(~apart) if part else every
+        row = np.repeat(np.arange(len(used.doc)), np.diff(used.begin))
+        without = np.bincount(row[own[used.place]], minlength=len(used.doc)) == 0
+        share = float((used.label[without].sum() + 1) / (without.sum() + 2)) if len(used.doc) else 0.5
+        return Index(vocabulary, idf * boost, used, share, neighbours, curve)
+
+    curve, held = (1.0, 0.0), every.label[apart]
+    if min(held.sum(), (1 - held).sum()) >= ENOUGH:
         second = index(1)
-        texts = [(p, c) for _, _, _, p, c in apart]
+        texts = [(every.place[begin[k] : begin[k + 1]], every.count[begin[k] : begin[k + 1]]) for k in np.flatnonzero(apart)]
         votes = np.array([second.vote(*x) for lo in range(0, len(texts), _TEXTS) for x in second.nearest_of(texts[lo : lo + _TEXTS])])
-        curve = fitted_curve(votes, np.array([r[1] for r in apart]))
+        curve = fitted_curve(votes, held)
+        del second, texts
     return index(0, curve)
 
 
