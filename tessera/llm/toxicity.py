@@ -213,8 +213,11 @@ class Index:
         e = examples if isinstance(examples, Examples) else Examples.of(examples)
         often = np.bincount(e.place, minlength=len(weight))
         row = np.repeat(np.arange(len(e.doc)), np.diff(e.begin))
-        value = ((1 + np.log(e.count)) * weight[e.place]).astype(np.float32)
-        norm = np.sqrt(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=len(e.doc)))
+        # single precision, which takes half the room; norms are added up in double
+        value = np.log(e.count, dtype=np.float32)
+        value += 1
+        value *= weight.astype(np.float32)[e.place]
+        norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(e.doc)))
         value /= np.maximum(norm, 1e-300)[row].astype(np.float32)
         del row
         keys = []
