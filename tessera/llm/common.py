@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -96,6 +97,22 @@ def pieces(total: int, each: int) -> int:
     return max(1, -(-int(total) // each))
 
 
+# ---------------------------------------------------------------- memory
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system. Python workers live on from stage to stage, and what one has
+    kept for later counts as its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 # ---------------------------------------------------------------- hashes
 
 

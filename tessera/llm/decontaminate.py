@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, cut, hash_spans, parts, pieces, rolling, spans
+from tessera.llm.common import U, cut, give_back, hash_spans, parts, pieces, rolling, spans
 from tessera.llm.frequencies import BITS, document_frequencies, fold, terms_of
 
 #: Words of a window; they double further up to the longest passage.
@@ -413,6 +413,7 @@ def _searched(search, only_clean: bool):
             elif hits:
                 row, item, *rest = zip(*hits, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], schema=schema)
+        give_back()
 
     return run
 

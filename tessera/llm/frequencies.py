@@ -8,23 +8,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, hash_spans, parts, spans, utf8
+from tessera.llm.common import U, give_back, hash_spans, parts, spans, utf8
 from tessera.session import ship
 
 #: Words are counted by this many leading bits of their hash.
 BITS = 18
 _PARTS, _MERGED = 16, 128
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+#: Bytes with A-Z in lower case and ASCII punctuation as spaces.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 for _c in range(128):
     if not chr(_c).isalnum():
-        _FOLD[_c] = 32
+        FOLD[_c] = 32
 
 
 def fold(column) -> tuple[np.ndarray, np.ndarray]:
     """A column's bytes with A-Z in lower case and ASCII punctuation as spaces, and the offsets."""
     data, offsets = utf8(column)
-    return _FOLD[data], offsets
+    return FOLD[data], offsets
 
 
 def terms_of(words: np.ndarray) -> np.ndarray:
@@ -52,6 +53,7 @@ def _count(also):
             pack = zstandard.ZstdCompressor(level=1).compress
             blobs = [pack(x.tobytes()) for x in (*np.split(counts, _PARTS), more)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS + 1), pa.int32()), pa.array([rows] * (_PARTS + 1), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "docs", "counts"])
+        give_back()
 
     return count
 

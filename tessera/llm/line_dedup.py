@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import firsts
-from tessera.llm.common import U, hash_spans, ids_of, parts, pieces, rolling, text_bytes, utf8
+from tessera.llm.common import U, give_back, hash_spans, ids_of, parts, pieces, rolling, text_bytes, utf8
 from tessera.llm.substring_dedup import covered_words
 
 WINDOW = 3
@@ -57,7 +57,9 @@ class Lines:
 
 def _send(window: int, n_buckets: int):
     def send(table: pa.Table) -> pa.Table:
-        return Lines(table, window, n_buckets).distinct.rows(table["chunk"][0].as_py())
+        rows = Lines(table, window, n_buckets).distinct.rows(table["chunk"][0].as_py())
+        give_back()
+        return rows
 
     return send
 
@@ -76,6 +78,7 @@ def _finish(window: int, n_buckets: int):
             kept[i] = b"\n".join(whole[a:b] for a, b in zip(lines.starts[stay].tolist(), lines.ends[stay].tolist(), strict=True)).decode()
         n = np.where(lines.null, 0, lines.n_lines)
         rest = [lines.table["rest"]] if "rest" in table.column_names else []
+        give_back()
         return pa.Table.from_arrays([lines.table["doc_id"], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *rest], names=names)
 
     return finish

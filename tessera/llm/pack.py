@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, hash_spans, parts, pieces, spans, stored, utf8
+from tessera.llm.common import U, give_back, hash_spans, parts, pieces, spans, stored, utf8
 from tessera.session import ship
 
 LENGTH, END = 2048, 0
@@ -139,6 +139,7 @@ def _pieces(length: int, path: str | None, keep_ids: bool):
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * length, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64())]
             columns += [pa.array(np.full(len(sizes), task), pa.int32()), pa.array(place)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * keep_ids, schema=schema)
+        give_back()
 
     return cut
 

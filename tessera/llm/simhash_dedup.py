@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U, cut, pieces, utf8
+from tessera.llm.common import U, cut, give_back, pieces, utf8
 from tessera.llm.components import Forest, components
 from tessera.session import ship
 
@@ -46,6 +46,7 @@ def _fingerprints(batches):
         whole = data.tobytes()
         fps = np.array([fingerprint(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64), pa.int64()), batch.column("text_hash")], schema=schema)
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U, hash_sums, labelled_sample, mix, parts, spans, stored
-from tessera.llm.frequencies import document_frequencies, fold, terms_of
+from tessera.llm.common import U, give_back, hash_sums, labelled_sample, mix, parts, spans, stored, utf8
+from tessera.llm.frequencies import FOLD, document_frequencies, terms_of
 from tessera.session import ship
 
 #: Labelled rows that are learned from at most; neighbours that vote; examples of a block; bytes of a word's beginnings.
@@ -34,8 +35,8 @@ CONTEXTS, DEVIATION = 6, 5.0
 PRIOR_WEIGHT, CALIBRATION, ENOUGH = 0.5, 5, 5
 _BUCKETS = 16
 #: Terms of the most examples, which have a column each instead of a list; texts scored together; blocks that each visits first,
-#: and how many more it visits by itself.
-_COMMON, _TEXTS, _VISIT, _MANY = 512, 64, 2, 8
+#: and how many more it visits by itself; entries of lists that are added up at a time (or one text's, if it has more).
+_COMMON, _TEXTS, _VISIT, _MANY, _ENTRIES = 512, 64, 2, 8, 1 << 17
 
 
 def _hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -50,9 +51,9 @@ def _hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def _slices(column):
     """(lo, hi, bytes, word starts, word ends, where each row's words begin) for runs of rows."""
-    data, offsets = fold(column)
+    data, offsets = utf8(column)
     for lo, hi in parts(offsets):
-        piece = data[offsets[lo] : offsets[hi]]
+        piece = FOLD[data[offsets[lo] : offsets[hi]]]
         yield (lo, hi, piece, *spans(piece, offsets[lo : hi + 1] - offsets[lo]))
 
 
@@ -79,6 +80,7 @@ def _contexts(batches):
             for b in range(_BUCKETS):
                 own = t % U(_BUCKETS) == b
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([t[own].tobytes()], pa.binary()), pa.array([c[own].tobytes()], pa.binary()), pa.array([m[own].tobytes()], pa.binary())], names=["bucket", "terms", "contexts", "marks"])
+    give_back()
 
 
 def _chosen(table: pa.Table) -> pa.Table:
@@ -169,6 +171,7 @@ def _vectors(heads):
                     counts.append(np.r_[n, m].astype(np.uint32).tobytes())
                     words.append(len(t))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "apart")), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int32())], names=["doc_id", "label", "apart", "terms", "counts", "words"])
+        give_back()
 
     return hold
 
@@ -265,9 +268,14 @@ class Index:
         query[text[own >= 0], own[own >= 0]] = w[own >= 0]
         # what the lists give
         rare = np.flatnonzero(own < 0)
-        entry, of = _ranges(self.start, place[rare])
-        near = np.bincount((text[rare] * size)[of] + self.posting[entry], weights=w[rare][of] * self.value[entry], minlength=len(texts) * size)
-        near = near.reshape(len(texts), size).astype(np.float32)
+        near = np.empty((len(texts), size), np.float32)
+        begin = np.searchsorted(text[rare], np.arange(len(texts) + 1))
+        entries = np.r_[0, np.cumsum(self.start[place[rare] + 1] - self.start[place[rare]])][begin]
+        for lo, hi in parts(entries, _ENTRIES):
+            some = rare[begin[lo] : begin[hi]]
+            entry, of = _ranges(self.start, place[some])
+            added = np.bincount(((text[some] - lo) * size)[of] + self.posting[entry], weights=w[some][of] * self.value[entry], minlength=(hi - lo) * size)
+            near[lo:hi] = added.reshape(hi - lo, size)
         # what a block may hold at most; the rounding is less than the margin
         hope = query @ self.bound + near.reshape(len(texts), self.blocks, BLOCK).max(axis=2) + 1e-5
         first = np.argpartition(-hope, min(_VISIT, self.blocks) - 1, axis=1)[:, :_VISIT]
@@ -350,7 +358,8 @@ def _scored(index, extra: str):
             for lo, hi, row, place, count in own.vocabulary.rows(batch.column("text")) if own.blocks else ():
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 texts = {lo + i: (place[at[i] : at[i + 1]], count[at[i] : at[i + 1]]) for i in np.flatnonzero(np.diff(at)).tolist()}
-                keys = {i: p.tobytes() + c.tobytes() for i, (p, c) in texts.items()}
+                # equal texts are scored once; 128 bits of a hash stand for what a text holds
+                keys = {i: blake2b(p.tobytes() + c.tobytes(), digest_size=16).digest() for i, (p, c) in texts.items()}
                 if len(memo) > 5_000:
                     memo.clear()
                 new = list({key: texts[i] for i, key in keys.items() if key not in memo}.items())
@@ -364,6 +373,7 @@ def _scored(index, extra: str):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, extra])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            give_back()
 
     return score
 

@@ -1,12 +1,17 @@
 """Quality, toxicity, decontamination and URL rules: against brute force, or by held-out accuracy."""
 
 import itertools
+import os
 import random
+import tracemalloc
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import common
 from tessera.llm import decontaminate as dc
 from tessera.llm import quality, toxicity
 from tessera.llm.url_filter import RULES, match_rules, mine_rules, tokens, url_filter
@@ -112,6 +117,46 @@ def test_nearest_examples_equal_brute_force(spark):
         assert np.allclose([all_[int(index.doc[f])] @ dense(place, count) for f in found], near)
 
 
+def test_scoring_keeps_to_bounded_memory():
+    rng = np.random.default_rng(3)
+    # of texts whose lists are long, only some lists' entries are at hand at a time
+    v = toxicity.Vocabulary(np.arange(1, 2001, dtype=np.uint64) << np.uint64(50))
+    some = lambda: (np.sort(rng.choice(2000, 200, replace=False)), rng.integers(1, 5, 200))
+    index = toxicity.Index(v, rng.uniform(0.5, 5, 2000), [(k, k % 2, *some()) for k in range(4096)], 0.1, 16)
+    texts = [some() for _ in range(64)]
+    tracemalloc.start()
+    together = index.nearest_of(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.allclose(near, index.nearest(*t)[1]) for t, (_, near) in zip(texts[:8], together, strict=False))
+    assert most < 64e6
+
+    # what has been scored is known by a hash, not kept whole
+    words = [f"{k}word" for k in range(400)]
+    data, offsets = toxicity.utf8(pa.array(words))
+    v = toxicity.Vocabulary(toxicity._hash_heads(data, offsets[:-1], offsets[1:])[:, 0])
+    index = toxicity.Index(v, np.ones(400), [(k, k % 2, np.arange(k, k + 9), np.ones(9, np.int64)) for k in range(40)], 0.1, 16)
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(rng.choice(words, 300, replace=False)) for _ in range(250)]}) for _ in range(12)]
+    tracemalloc.start()
+    scored_ = toxicity._scored(SimpleNamespace(value=index), "score_")(batches)
+    for _ in batches:
+        next(scored_)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 8e6
+
+
+@pytest.mark.skipif(common._trim is None, reason="needs glibc")
+def test_freed_memory_goes_back_to_the_system():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    blocks = [np.ones(8192) for _ in range(1600)]
+    last = blocks.pop()
+    held = resident()
+    del blocks
+    common.give_back()
+    assert held - resident() > 50e6 and last[0] == 1
+
+
 def test_toxicity_neighbours_equal_brute_force(spark):
     """From texts to evidence: cosines over all words of whole texts, weighed by df over all documents and by chi-square."""
     rows, labels = toxic_corpus()
