@@ -451,6 +451,16 @@ def test_url_rules(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_listed_rules_are_those_of_the_contract(spark):
+    assert sorted((h + p, v) for v, h, p in RULES) == [("com/en/", "block"), ("example.com/en/7", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
+    urls = {"http://a.com/en/x": "block", "http://b.example.com/en/7": "allow", "http://a.net/de/x": "allow", "http://b.example.net/de/8": "block", "http://a.org/es/": "block", "http://example.net/de/9": "allow"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    # mined rules say block of all: what is listed goes before them
+    learn = spark.createDataFrame([(u, "block") for u in urls] + [("http://x.info/fr/", "allow")] * 20, "url string, verdict string")
+    out = {r.page_id: r for r in url_filter(pages, learn, min_support=0.01).collect()}
+    assert [out[k].verdict for k in range(len(urls))] == list(urls.values()) and all(r.rule and r.confidence is None for r in out.values())
+
+
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(6)
     rows = []
