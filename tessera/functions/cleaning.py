@@ -6,7 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +48,42 @@ class CleaningConfig:
     lower_headers: bool = True
 
 
+#: So many characters are held as Python strings at a time while texts are put into a normal form.
+_HELD = 1 << 20
+
+
 def _form(name: str):
-    """An Arrow function; a nested one travels to the executors by value, which then need no package."""
+    """An Arrow function; a nested one travels to the executors by value, which then need no package.
+
+    Texts are taken out of Arrow's memory one by one and put back a little at a time: as Python strings a whole batch would
+    take up to four bytes a character, once for what comes and once for what goes. What the parts took is given back, as
+    workers live on.
+    """
 
-    @F.pandas_udf(T.StringType())
-    def normal(s: pd.Series) -> pd.Series:
-        return s.str.normalize(name)
+    @F.arrow_udf(T.StringType())
+    def normal(texts: pa.Array) -> pa.Array:
+        parts, some, size = [], [], 0
+        for x in texts:
+            text = x.as_py()
+            some.append(None if text is None else unicodedata.normalize(name, text))
+            size += len(some[-1] or "")
+            if size >= _HELD:
+                parts.append(pa.array(some, texts.type))
+                some, size = [], 0
+        out = pa.concat_arrays([*parts, pa.array(some, texts.type)])
+        parts.clear()
+        pa.default_memory_pool().release_unused()
+        return out
 
     return normal
 
 
+def _open(name: str) -> str:
+    """A pattern for what a normal form may change. Latin-1 characters combine with none before them, so a text of those
+    that stay as they are by themselves is in the form."""
+    return r"[\x{100}-\x{10FFFF}" + "".join(c for c in map(chr, range(128, 256)) if unicodedata.normalize(name, c) != c) + "]"
+
+
 def replaced(c: Column, by: dict[str, str]) -> Column:
     """One translate for characters that become one or none, a replace for each of the others."""
     single = {k: v for k, v in by.items() if len(k) == 1 and len(v) <= 1}
@@ -74,15 +100,15 @@ def replaced(c: Column, by: dict[str, str]) -> Column:
 def clean(c: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     """A text column cleaned: null words, replacements, normal form, controls, special characters, white space.
 
-    Everything but the normal form is a built-in expression; that one is an Arrow function which only texts with
-    characters beyond ASCII reach.
+    Everything but the normal form is a built-in expression; that one is an Arrow function which only texts that the form
+    may change reach.
     """
     out = F.when(~c.isin(*config.null_words), c) if config.null_words else c
     # as many bytes as characters: nothing beyond ASCII, which the map (but for keys of one's own) and the form leave alone
     beyond = F.octet_length(out) > F.length(out)
     new = replaced(out, config.replace)
     if config.normal_form:
-        new = _form(config.normal_form)(F.when(beyond, new))
+        new = F.coalesce(_form(config.normal_form)(F.when(beyond & F.rlike(new, F.lit(_open(config.normal_form))), new)), new)
     plain = {k: v for k, v in config.replace.items() if k.isascii()}
     out = F.when(beyond, new).otherwise(replaced(out, plain))
     if config.controls:

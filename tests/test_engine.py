@@ -2,7 +2,10 @@
 
 import datetime as dt
 import math
+import tracemalloc
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,36 @@ def test_clean(spark):
     assert values(spark.createDataFrame([("é-a b!",)], "t string").select(cleaning.clean(F.col("t"), special).alias("t")), "t") == ["éa b"]
 
 
+@pytest.mark.parametrize("form", ["NFC", "NFD", "NFKC", "NFKD"])
+def test_normal_forms_equal_pythons(spark, form):
+    texts = [chr(a) + b for a in range(0x3200) for b in ("", "\u0301")] + ["e\u0323\u0307", "가", "\u1100\u1161\u11a8", "豈", "😀 ﷺ", "½ é", "", None]
+    only = cleaning.CleaningConfig(null_words=(), replace={}, normal_form=form, controls=False, trim=False)
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", cleaning.clean(F.col("t"), only).alias("t")).collect()
+    assert {r.k: r.t for r in got} == {k: t if t is None else unicodedata.normalize(form, t) for k, t in enumerate(texts)}
+
+
+def test_only_texts_that_the_form_may_change_reach_python(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "_form", lambda name: lambda c: F.concat(F.lit(f"{name}:"), c))
+    texts = ["Éñß ¡", "plain", None, "“é”", "½ é", "e\u0301", "œ"]
+    got = values(spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(cleaning.clean(F.col("t")).alias("t")), "t")
+    assert got == ["Éñß ¡", "plain", None, '"é"', "NFKC:½ é", "NFKC:e\u0301", "NFKC:œ"]
+    assert values(spark.createDataFrame([("é",)], "t string").select(cleaning.clean(F.col("t"), cleaning.CleaningConfig(normal_form="NFD")).alias("t")), "t") == ["NFD:é"]
+
+
+def test_normal_form_holds_few_strings_at_a_time():
+    normal = cleaning._form("NFKC").func
+    text = "😀 e\u0301 ﬁ " + "word " * 1000
+    batch = pa.array([f"{k} {text}" for k in range(4000)] + [None, ""])
+    tracemalloc.start()
+    out = normal(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 < batch.nbytes
+    assert out.type == batch.type and out[4000].as_py() is None and out[4001].as_py() == ""
+    assert all(out[k].as_py() == unicodedata.normalize("NFKC", f"{k} {text}") for k in (0, 1999, 3999))
+    assert normal(batch.slice(0, 0)).to_pylist() == [] and normal(batch.slice(3999, 2)).equals(out.slice(3999, 2))
+
+
 def test_headers(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int").toDF("﻿Cost Code", "cost-code", "--", "Id")
     assert cleaning.clean_headers(df).columns == ["cost_code", "cost_code_1", "col_3", "id"]
